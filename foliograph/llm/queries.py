@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.llm.bpe import count_tokens, encode_texts
+from foliograph.llm.harmful import fit, score_documents
 from foliograph.llm.one_ranking import combine_scores, top_items
 from foliograph.llm.packing import pack
 from foliograph.llm.splitting import split_oversized
@@ -62,6 +63,28 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return pack(sizes, key="doc_id", size="n_tokens", capacity=capacity)
 
 
+def p10_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its score for abusive, hateful or sexual content."""
+    documents = table(spark, root, "documents")
+    model = fit(documents, table(spark, root, "doc_labels"), key="doc_id", text="text", label="harmful")
+    return score_documents(documents, model, key="doc_id", text="text", keep=["source"])
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold such content."""
+    return p10_scores(spark, root).where("harmful").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Documents, harmful documents and their rate per source."""
+    return (
+        p10_scores(spark, root)
+        .groupBy("source")
+        .agg(F.count("*").alias("n_docs"), F.count_if("harmful").alias("n_harmful"))
+        .withColumn("rate", F.round(F.col("n_harmful") / F.col("n_docs"), 6))
+    )
+
+
 QUERIES = {
     "p2_pieces": p2_pieces,
     "p2_found": p2_found,
@@ -69,6 +92,9 @@ QUERIES = {
     "p3_found": p3_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_scores": p10_scores,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 ORACLE_SQL = {
