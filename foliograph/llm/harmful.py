@@ -39,7 +39,7 @@ _SPACED = re.compile(r"\b(?:[a-z][ .*_-]){3,}[a-z]\b")
 #: a unit ends with its sentence or line; a line that goes on in lower case is not ended
 _SOFT = re.compile(r"[ \t\r]*\n(?=[^\W\d_A-Z])|(?<=[\w,;])-\n(?=[a-z])")
 _END = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|(?<=[。！？])|\n")
-SHORTEST = 16
+SHORTEST, LONGEST = 16, 110
 _LEAD = re.compile(r"^(?:[>\-*•\d.\[\] ]|user\d+:|\[ \])+")
 BITS = 18
 
@@ -55,6 +55,14 @@ def fold(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+(?:[.,]\d+)*", "0", _LEAD.sub("", text))).strip()
 
 
+def _windows(unit: str) -> list[str]:
+    """A long unit as overlapping windows that begin at words, so that no harmless neighbour dilutes a short phrase."""
+    if len(unit) <= LONGEST:
+        return [unit]
+    starts = [unit.rfind(" ", 0, at) + 1 for at in range(0, len(unit) - LONGEST // 2, LONGEST // 2)]
+    return [unit[a : a + LONGEST] for a in dict.fromkeys(starts)]
+
+
 def units(text: str | None) -> list[str]:
     """Folded units of a text, each once; what is shorter than SHORTEST goes with its neighbour."""
     out: list[str] = []
@@ -66,7 +74,7 @@ def units(text: str | None) -> list[str]:
         unit = f"{short} {unit}" if short else unit
         short = unit if len(unit) < SHORTEST else ""
         if not short:
-            out.append(unit)
+            out += _windows(unit)
     if short:
         out.append(f"{out.pop()} {short}" if out else short)
     return list(dict.fromkeys(out))
@@ -98,7 +106,7 @@ class Model:
 
     weights: np.ndarray
     bias: float
-    threshold: float = 0.6
+    threshold: float = 0.8
 
     def score_units(self, texts: list[str]) -> np.ndarray:
         """Probability of each unit."""
@@ -122,7 +130,7 @@ def _fit(rows: np.ndarray, grams: np.ndarray, n: int, y: np.ndarray, weight: np.
     positive = np.bincount(grams, (weight * y)[rows], minlength=1 << BITS) + 1
     negative = np.bincount(grams, (weight * (1 - y))[rows], minlength=1 << BITS) + 1
     ratio = np.log(positive / positive.sum()) - np.log(negative / negative.sum())
-    ratio[(positive + negative) < 3] = 0  # an n-gram met once says nothing
+    ratio[((positive + negative) < 3) | (np.abs(ratio) < 0.4)] = 0  # an n-gram met once, or equally often, says nothing
     keep = ratio[grams] != 0
     used, column = np.unique(grams[keep], return_inverse=True)
     r = rows[keep]
