@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.bpe import count_tokens, encode_texts
 from foliograph.llm.harmful import fit, score_documents
+from foliograph.llm.linkage import match_citations
 from foliograph.llm.one_ranking import combine_scores, top_items
 from foliograph.llm.packing import pack
 from foliograph.llm.splitting import split_oversized
@@ -51,6 +52,24 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return top_items(p3_ranking(spark, root), group="query_id", item="node_id", k=10).select("query_id", "node_id")
 
 
+def p6_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Citations with the paper they cite and the confidence of the match."""
+    nodes = table(spark, root, "nodes").where(F.col("node_type") == "reference")
+    citations = nodes.select(
+        F.col("node_id").alias("key"),
+        F.col("citation_title").alias("title"),
+        F.col("citation_year").alias("year"),
+        F.col("citation_author_text").alias("authors"),
+    )
+    papers = table(spark, root, "papers").select(F.col("paper_id").alias("key"), "title", "year", "authors")
+    return match_citations(citations, papers).select(F.col("key").alias("node_id"), F.col("paper").alias("paper_id"), "confidence")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Citations and the papers they cite."""
+    return p6_matches(spark, root).select("node_id", "paper_id")
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document."""
     return encode_texts(table(spark, root, "documents"), "doc_id", "text")
@@ -90,6 +109,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_ranking": p3_ranking,
     "p3_found": p3_found,
+    "p6_matches": p6_matches,
+    "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p10_scores": p10_scores,
