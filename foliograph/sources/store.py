@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,16 +15,30 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one the cluster names, or our own where none is set."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not getattr(spark, "_foliograph_folder", None):
+            spark._foliograph_folder = tempfile.mkdtemp(prefix="foliograph-")
+            atexit.register(shutil.rmtree, spark._foliograph_folder, ignore_errors=True)
+        base = f"file://{spark._foliograph_folder}"
+    return f"{base.rstrip('/')}/foliograph-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """`df` computed once and read from a reliable checkpoint from then on.
+    """`df` computed once, written as a compressed table to the shared folder, and read from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (tests, one machine) a folder of our own is used.
+    This cuts the lineage: the loss of an executor costs no more than a read. The
+    table is deleted when the driver's Python ends.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliograph-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    place = _folder(spark)
+    df.write.option("compression", "zstd").parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def row_bound(df: DataFrame) -> int:
