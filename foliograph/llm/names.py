@@ -16,8 +16,8 @@ NICKNAMES = {
     "ekaterina": "katya katia", "elizabeth": "liz beth lizzie betty eliza", "francisco": "paco pancho fran", "frederick": "fred freddie",
     "giuseppe": "beppe peppe", "gregory": "greg", "guadalupe": "lupe lupita", "ignacio": "nacho", "james": "jim jimmy jamie",
     "jennifer": "jen jenny", "johannes": "hans jo", "john": "jack johnny", "jose": "pepe", "joseph": "joe joey",
-    "katherine": "kate kathy katie kat", "lawrence": "larry", "leonard": "len lenny leo", "ludmila": "mila lyuda luda",
-    "margaret": "peggy maggie meg marge", "maximilian": "max", "michael": "mike mick misha", "nicholas": "nick nico", "patricia": "pat patty tricia",
+    "katherine": "kate kathy katie kat kit", "lawrence": "larry", "leonard": "len lenny leo", "ludmila": "mila lyuda luda",
+    "margaret": "peggy maggie meg marge", "maximilian": "max", "michael": "mike mick misha", "nicholas": "nick nico", "patricia": "pat patty tricia trish",
     "philip": "phil", "rafael": "rafa", "richard": "dick rick rich", "robert": "bob rob bobby", "samuel": "sam sammy", "stephanie": "steph",
     "stephen": "steve", "susannah": "sue susie", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim",
     "victoria": "vicky tori", "viktor": "vitya", "vladimir": "vova volodya", "william": "bill will billy", "yevgenia": "zhenya", "zachary": "zach zack",

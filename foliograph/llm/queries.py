@@ -11,6 +11,7 @@ from foliograph.llm.linkage import match_citations
 from foliograph.llm.one_ranking import combine_scores, top_items
 from foliograph.llm.packing import pack
 from foliograph.llm.splitting import split_oversized
+from foliograph.llm.variants import entity_pairs, group_variants
 from foliograph.sources.store import table
 
 
@@ -20,6 +21,31 @@ def _limits(spark: SparkSession, root: str, use: str) -> tuple[int, int]:
     return row[0], row[1]
 
 
+def p1_entities(spark: SparkSession, root: str) -> DataFrame:
+    """Every record that names a person or an organisation, with its entity."""
+    nodes = table(spark, root, "nodes").select("node_id", "node_type", "canonical_name", "institution_text")
+    papers = table(spark, root, "papers").select("paper_id", "authors")
+
+    def named(kind: str, node_type: str, column: str) -> DataFrame:
+        return nodes.where(F.col("node_type") == node_type).select(F.col("node_id").alias("rec"), F.lit(kind).alias("kind"), F.col(column).alias("name"))
+
+    entries = papers.select("paper_id", F.posexplode("authors").alias("i", "name")).select(
+        F.concat("paper_id", F.lit("#"), F.col("i") + 1).alias("rec"), F.lit("person").alias("kind"), "name"
+    )
+    records = (
+        named("person", "author", "canonical_name")
+        .unionByName(entries)
+        .unionByName(named("organisation", "institution", "canonical_name"))
+        .unionByName(named("organisation", "paper", "institution_text"))
+    )
+    return group_variants(records)
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of records that name the same person or organisation."""
+    return entity_pairs(p1_entities(spark, root))
+
+
 def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
     """The pieces of every oversized block and section."""
     parts = []
@@ -105,6 +131,8 @@ def p10_rates(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_entities": p1_entities,
+    "p1_found": p1_found,
     "p2_pieces": p2_pieces,
     "p2_found": p2_found,
     "p3_ranking": p3_ranking,
