@@ -10,6 +10,7 @@ from foliograph.llm.harmful import fit, score_documents
 from foliograph.llm.linkage import match_citations
 from foliograph.llm.one_ranking import combine_scores, top_items
 from foliograph.llm.packing import pack
+from foliograph.llm.scans import Scans, defects, examine, repair
 from foliograph.llm.splitting import split_oversized
 from foliograph.llm.variants import entity_pairs, group_variants
 from foliograph.sources.store import table
@@ -78,6 +79,37 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return top_items(p3_ranking(spark, root), group="query_id", item="node_id", k=10).select("query_id", "node_id")
 
 
+def _scanned(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Texts of scanned papers (src_table, rec_id, text, title), and texts of the others (text)."""
+    papers = table(spark, root, "papers").groupBy("paper_id").agg(
+        F.max("title").alias("title"), F.max(F.array_contains("metadata_sources", "scan")).alias("scan")
+    )
+    blocks = table(spark, root, "paper_content_list").where(F.col("text").isNotNull() & F.col("text_level").isNull())
+    blocks = blocks.select(F.lit("paper_content_list").alias("src_table"), F.col("block_id").cast("string").alias("rec_id"), "paper_id", "text")
+    figures = table(spark, root, "nodes").where((F.col("node_type") == "figure") & (F.size("caption") > 0))
+    figures = figures.select(F.lit("nodes").alias("src_table"), F.col("node_id").alias("rec_id"), "paper_id", F.array_join("caption", "\n\n").alias("text"))
+    # the papers' side is joined in once; a row goes to one of the two sides by its paper
+    known = blocks.unionByName(figures).join(papers, "paper_id", "left")
+    scanned = known.where("scan").select("src_table", "rec_id", "text", "title").dropDuplicates(["src_table", "rec_id"])
+    return scanned, known.where("NOT coalesce(scan, false)").select("text")
+
+
+def _examined(spark: SparkSession, root: str) -> tuple[DataFrame, Scans]:
+    scanned, clean = _scanned(spark, root)
+    venues = table(spark, root, "nodes").where(F.col("node_type") == "venue").select(F.col("canonical_name").alias("name"))
+    return scanned, examine(scanned, clean, table(spark, root, "scan_samples"), venues)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Records of scanned papers and what is wrong with them."""
+    return defects(_examined(spark, root)[1])
+
+
+def p5_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """The repaired texts of scanned papers."""
+    return repair(*_examined(spark, root))
+
+
 def p6_matches(spark: SparkSession, root: str) -> DataFrame:
     """Citations with the paper they cite and the confidence of the match."""
     nodes = table(spark, root, "nodes").where(F.col("node_type") == "reference")
@@ -137,6 +169,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_ranking": p3_ranking,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p6_matches": p6_matches,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
