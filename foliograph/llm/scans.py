@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,7 +47,7 @@ KNOWN_CONFUSIONS = [
     ("€", "e"), ("†", "t"), ("@", "a"), ("!", "i"), ("!", "l"), ("ﬁ", "fi"), ("ﬂ", "fl"), (" ", ""),
 ]
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.[\s-]?)+\s?[^\W\d_][\w'’-]+(?:\s[\w'’-]+)?:\s")
-_WORD = re.compile(r"\S+")
+_ETAL = re.compile(r"\bet\.? al\.?$", re.IGNORECASE)
 
 
 def page_part(line: str) -> tuple[str, str]:
@@ -125,6 +126,7 @@ def middle(a: str, b: str) -> tuple[str, str]:
     return a[i : len(a) - j], b[i : len(b) - j]
 
 
+@lru_cache(maxsize=500_000)
 def strip_word(word: str) -> str:
     """A word without the punctuation around it, in lower case."""
     return word.strip(_EDGE).rstrip("!").strip(_EDGE).lower()
@@ -233,6 +235,16 @@ def learn(samples: list[tuple[str, str]]) -> Models:
     return models
 
 
+@lru_cache(maxsize=8)
+def _venue_heads(venues: frozenset[str]) -> frozenset[str]:
+    return frozenset(v.split()[0] for v in venues if v)
+
+
+@lru_cache(maxsize=100_000)
+def _head(word: str) -> str:
+    return (_flat(word).split() or [""])[0]
+
+
 @dataclass
 class Reading:
     """A text with its furniture and broken words told apart."""
@@ -248,15 +260,30 @@ def read_lines(text: str, title: str | None, venues: frozenset[str], lexicon, mo
     filled = [i for i, x in enumerate(raw) if x.strip()]
     defects: set[str] = set()
     drop: set[int] = set()
-    feats = [
-        line_features(raw[i], raw[filled[k - 1]] if k else "", raw[filled[k + 1]] if k + 1 < len(filled) else "") for k, i in enumerate(filled)
-    ]
-    plausible = [k for k, i in enumerate(filled) if len(raw[i]) < 90 and (page_part(raw[i])[0] or feats[k][1])]
-    odd = dict(zip(plausible, models.furniture.predict(np.array([feats[k] for k in plausible])) if plausible else []))
+    title_head = _head(title.split(None, 1)[0]) if title and title.strip() else ""
+    heads = _venue_heads(venues)
+    # a short look tells most lines apart from anything that could be furniture
+    pages: dict[int, tuple[str, str]] = {}
+    named: set[int] = set()
+    feats: dict[int, list[float]] = {}
     for k, i in enumerate(filled):
-        page, rest = page_part(raw[i])
-        header = bool(rest) and (header_of_paper(rest, title, venues) or feats[k][1] > 0 and odd.get(k, 0) >= 0.5)
-        if header or page and not rest and odd.get(k, 0) >= 0.5:
+        line = raw[i].strip()
+        if len(line) >= 90:
+            continue
+        page, rest = page_part(line) if len(line) < 60 else ("", line)
+        etal = _ETAL.search(rest)
+        head = _head(rest.split(None, 1)[0]) if rest else ""
+        if rest and (head == title_head or head in heads or _INITIALS.match(rest)) and header_of_paper(rest, title, venues):
+            named.add(i)
+        if page or etal:
+            before, after = (raw[filled[k - 1]] if k else ""), (raw[filled[k + 1]] if k + 1 < len(filled) else "")
+            feats[i] = line_features(line, before, after)
+        if page or etal or i in named:
+            pages[i] = (page, rest)
+    odd = dict(zip(feats, models.furniture.predict(np.array(list(feats.values()))) if feats else []))
+    for i, (page, rest) in pages.items():
+        header = i in named or bool(rest) and feats.get(i, [0, 0])[1] > 0 and odd.get(i, 0) >= 0.5
+        if header or page and not rest and odd.get(i, 0) >= 0.5:
             drop.add(i)
             defects |= ({"header"} if header else set()) | ({"page_no"} if page else set())
     kept = [raw[i] for i in range(len(raw)) if i not in drop]
