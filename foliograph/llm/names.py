@@ -23,7 +23,8 @@ NICKNAMES = {
     "victoria": "vicky tori", "viktor": "vitya", "vladimir": "vova volodya", "william": "bill will billy", "yevgenia": "zhenya", "zachary": "zach zack",
 }
 _FULL = {short: {full for full, shorts in NICKNAMES.items() if short in shorts.split()} for shorts in NICKNAMES.values() for short in shorts.split()}
-_HONORIFIC = re.compile(r"\b(?:prof|professor|dr|phd|ph\.d|md|m\.d|msc|bsc|sir|dame|mr|mrs|ms|jr|sr)\b\.?", re.IGNORECASE)
+#: titles before a name, degrees after a comma; bare capitals at the end are initials
+_HONORIFIC = re.compile(r"^\s*(?:(?:prof|professor|dr|sir|dame|mr|mrs|ms)\b\.?\s+)+|,\s*(?:ph\.?\s?d|m\.?d|m\.?sc|b\.?sc|jr|sr)\.?\s*$", re.IGNORECASE)
 _NOTE = re.compile(r"\([^)]*\)|\[[^\]]*\]|[¹²³⁰-⁹*†‡§¶#]|\d+")
 _WORD = re.compile(r"[a-z]+(?:['’][a-z]+)*")
 #: fixed values: words of organisations in their short and foreign forms
@@ -82,7 +83,7 @@ def person(name: str | None, given_words: frozenset[str] = frozenset()) -> tuple
     else:
         words = plain.split()
         caps = [w for w in words if len(re.sub(r"\W", "", w)) > 3 and w.upper() == w and w.lower() != w]
-        if caps and len(caps) < len([w for w in words if len(re.sub(r"\W", "", w)) > 3]):
+        if caps and any(w not in caps and w.upper() != w for w in words):
             sur, given = caps, [w for w in words if w not in caps]
         elif len(words) > 1 and re.fullmatch(r"[^\W\d_a-z]{1,3}(?:-[^\W\d_])?", words[-1]) and "." not in words[-1] and len(words[0]) > 3:
             sur, given = words[:-1], words[-1:]

@@ -59,6 +59,10 @@ def page_part(line: str) -> tuple[str, str]:
     return m["a"] or m["b"], (m["rest"] if m["a"] else m["rest2"]).strip()
 
 
+def _only_page(line: str) -> bool:
+    return len(line) < 24 and bool(_PAGE.fullmatch(line.strip()))
+
+
 def _flat(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", fold(text)).strip()
 
@@ -276,7 +280,8 @@ def read_lines(text: str, title: str | None, venues: frozenset[str], lexicon, mo
         if rest and (head == title_head or head in heads or _INITIALS.match(rest)) and header_of_paper(rest, title, venues):
             named.add(i)
         if page or etal:
-            before, after = (raw[filled[k - 1]] if k else ""), (raw[filled[k + 1]] if k + 1 < len(filled) else "")
+            before = next((raw[j] for j in reversed(filled[:k]) if not _only_page(raw[j])), "")
+            after = next((raw[j] for j in filled[k + 1 :] if not _only_page(raw[j])), "")
             feats[i] = line_features(line, before, after)
         if page or etal or i in named:
             pages[i] = (page, rest)

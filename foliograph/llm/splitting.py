@@ -58,16 +58,28 @@ def cuts(text: str, limit: int, lo: int = 0, hi: int | None = None, level: int =
         return [hi]
     if level == len(LEVELS):
         return _characters(text, lo, hi, limit)
-    leaves, at = [], lo
+    ends: list[int] = []
+    run: list[int] = []  # leaves that may be merged with one another
+
+    def merge() -> None:
+        start = ends[-1] if ends else lo
+        for i, end in enumerate(run):
+            if i + 1 == len(run) or run[i + 1] - start > limit:
+                ends.append(end)
+                start = end
+        run.clear()
+
+    at = lo
     for end in _children(text, lo, hi, level):
-        leaves += cuts(text, limit, at, end, level + 1)  # a node within the limit stays whole
+        leaves = cuts(text, limit, at, end, level + 1)  # a node within the limit stays whole
+        if level == 0 and len(leaves) > 1:  # the parts of an opened section do not mix with the next one's
+            merge()
+            ends += leaves
+        else:
+            run += leaves
         at = end
-    merged, start = [], lo
-    for i, end in enumerate(leaves):
-        if i + 1 == len(leaves) or leaves[i + 1] - start > limit:
-            merged.append(end)
-            start = end
-    return merged
+    merge()
+    return ends
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
