@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as tx
 from foliograph.operators import bibliography as bib
+from foliograph.operators import metadata
 from foliograph.operators import windows
 from foliograph.operators.mentions import mentions
 from foliograph.operators.structure import chunk_papers
@@ -175,3 +176,26 @@ def evidence_audit(spark: SparkSession, root: str) -> DataFrame:
     texts = table(spark, root, "nodes").where(F.col("section_text").isNotNull()).select("node_id", F.lower("section_text").alias("t")).distinct()
     hits = F.filter("words", lambda w: F.regexp_like(F.col("t"), F.concat(F.lit(r"\b"), w, F.lit(r"\b"))))
     return asked.join(texts, "node_id").select("query_id", "node_id", F.size(hits).cast("bigint").alias("found"), F.size("words").cast("bigint").alias("asked")).where(F.col("found") > 0).distinct()
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT paper_id, item_index, text_level, trim(text) AS t FROM paper_content_list WHERE text IS NOT NULL AND length(trim(text)) > 0),
+y AS (SELECT paper_id, arg_min(regexp_extract(t, '((?:19|20)\\d{2})', 1), item_index) AS year FROM b WHERE item_index < 40 AND regexp_matches(t, '(?:19|20)\\d{2}') GROUP BY 1),
+ti AS (SELECT paper_id, arg_min(t, CASE WHEN text_level = 1 THEN 0 ELSE 100000 END + item_index) AS title FROM b WHERE text_level = 1 OR length(t) > 20 GROUP BY 1)
+SELECT p.paper_id, regexp_replace(ti.title, '[ \t]+', ' ', 'g') AS title, y.year FROM (SELECT DISTINCT paper_id FROM b) p LEFT JOIN ti USING (paper_id) LEFT JOIN y USING (paper_id)"""
+)
+def front_matter(spark: SparkSession, root: str) -> DataFrame:
+    """Titles and years read from the first blocks of papers."""
+    blocks = table(spark, root, "paper_content_list").select("paper_id", "item_index", "text", "text_level").distinct()
+    return metadata.front_matter(blocks).select("paper_id", "title", "year")
+
+
+@query(
+    """SELECT DISTINCT node_id, CASE WHEN regexp_matches(lower(section_title), 'reference|bibliograph|works cited') THEN 1.75 WHEN regexp_matches(lower(section_title), 'acknowledg|funding|conflict|competing|ethic|availability|author contribution') THEN -1.0
+WHEN regexp_matches(lower(section_title), 'front matter|title|author|affiliation') THEN -0.65 WHEN regexp_matches(lower(section_title), 'abstract') THEN 0.12 WHEN regexp_matches(lower(section_title), 'introduction|background') THEN 0.08 ELSE 0.0 END::DOUBLE AS score
+FROM nodes WHERE node_type = 'section' AND section_title IS NOT NULL"""
+)
+def section_role_scores(spark: SparkSession, root: str) -> DataFrame:
+    """What each section counts for a query about references."""
+    rows = table(spark, root, "nodes").where((F.col("node_type") == "section") & F.col("section_title").isNotNull())
+    return rows.select("node_id", metadata.role_score(metadata.section_role(F.col("section_title")), "reference").alias("score")).distinct()
