@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliograph.functions import text as tx
 from foliograph.operators import graph as g
 from foliograph.operators import ranking as rk
+from foliograph.operators.paper_rank import phase_one, rank_papers
 from foliograph.operators.tfidf import ngram_counts, rank_documents
 from foliograph.sources.store import row_bound, table
 
@@ -469,3 +470,16 @@ def paragraph_counts(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "paper_content_list").where(F.col("text").isNotNull()).select("block_id", "text").distinct()
     parts = rows.select("block_id", F.explode(F.split(F.replace("text", F.lit("\r"), F.lit("")), r"\n\s*\n+")).alias("p"))
     return parts.where(F.length(F.regexp_replace("p", r"^[ \t\n]+|[ \t\n]+$", "")) > 0).distinct().groupBy("block_id").agg(F.count("*").alias("n_paragraphs"))
+
+
+@query()
+def ranked_papers(spark: SparkSession, root: str) -> DataFrame:
+    """Papers for each query from text, named entities, coverage and cross-paper support."""
+    papers = table(spark, root, "papers").select("node_id", F.concat_ws(" ", "title", "abstract").alias("text"))
+    direct = rank_documents(papers, table(spark, root, "query_cases"), key="node_id", text="text", query_key="query_id", query_text="query", k=200)
+    direct = direct.select("query", F.col("key").alias("paper"), "score")
+    asked = table(spark, root, "query_cases").select(F.col("query_id").alias("query"))
+    matches = exact_entity_match(spark, root).join(asked, "query", "left_semi").select("query", F.col("node_id").alias("entity"), F.col("node_type").alias("kind"))
+    e = _edges(spark, root).where(F.col("edge_type").startswith("paper_") & F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    edges = e.select(F.col("source_id").alias("paper"), F.col("target_id").alias("entity"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    return rank_papers(phase_one(direct, matches, edges), _cross(spark, root), k=10)
