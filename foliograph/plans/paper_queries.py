@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as tx
 from foliograph.operators import bibliography as bib
-from foliograph.operators import metadata
+from foliograph.operators import evidence, metadata
 from foliograph.operators import windows
 from foliograph.operators.mentions import mentions
 from foliograph.operators.structure import chunk_papers
+from foliograph.operators.tfidf import rank_documents
 from foliograph.sources.store import table
 
 QUERIES: dict = {}
@@ -199,3 +200,47 @@ def section_role_scores(spark: SparkSession, root: str) -> DataFrame:
     """What each section counts for a query about references."""
     rows = table(spark, root, "nodes").where((F.col("node_type") == "section") & F.col("section_title").isNotNull())
     return rows.select("node_id", metadata.role_score(metadata.section_role(F.col("section_title")), "reference").alias("score")).distinct()
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT node_id AS node, paper_id AS paper FROM papers), e AS (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type IN ('paper_has_section', 'section_has_figure')),
+l1 AS (SELECT DISTINCT e.target_id AS node, p.paper FROM p JOIN e ON e.source_id = p.node WHERE e.target_id IS NOT NULL),
+l2 AS (SELECT DISTINCT e.target_id AS node, l1.paper FROM l1 JOIN e ON e.source_id = l1.node WHERE e.target_id IS NOT NULL)
+SELECT node, min(paper) AS paper, count(*) AS n_papers FROM (SELECT * FROM p UNION SELECT * FROM l1 UNION SELECT * FROM l2) x GROUP BY 1"""
+)
+def node_owners(spark: SparkSession, root: str) -> DataFrame:
+    """The paper that owns each section and figure."""
+    e = table(spark, root, "edges").where(F.col("edge_type").isin("paper_has_section", "section_has_figure") & F.col("target_id").isNotNull())
+    papers = table(spark, root, "papers").select("node_id", F.col("paper_id").alias("paper")).distinct()
+    return evidence.owners(e.select("source_id", "target_id").distinct(), papers)
+
+
+def _queries(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "query_cases").where(F.col("query").isNotNull()).select(F.col("query_id").alias("query"), F.col("query").alias("wording")).distinct()
+    kinds = {"table": ["table"], "plot": ["chart", "image"], "chart": ["chart", "image"], "graph": ["chart", "image"], "figure": ["image", "chart"], "diagram": ["image", "chart"]}
+    wanted = [F.when(F.lower("wording").contains(w), F.array(*[F.lit(k) for k in ks])).otherwise(F.array().cast("array<string>")) for w, ks in kinds.items()]
+    return rows.withColumn("kinds", F.array_distinct(F.flatten(F.array(*wanted))))
+
+
+@query()
+def figure_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """The five figures nearest to each query by text, caption and label."""
+    rows = table(spark, root, "nodes").where(F.col("node_type") == "figure").select("node_id", "caption", "section_title").distinct()
+    text = F.array_join("caption", " ")
+    figures = rows.select(
+        F.col("node_id").alias("figure"), F.element_at(F.split("node_id", ":"), 3).alias("kind"), F.concat_ws(" ", "section_title", text).alias("body"), text.alias("caption"), tx.reference_label(text).alias("label")
+    )
+    return evidence.rank_figures(figures, _queries(spark, root), 5)
+
+
+@query()
+def section_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """The sections of each paper for a query, at most three, of different roles first."""
+    rows = table(spark, root, "nodes").where(F.col("node_type") == "section").select("node_id", "paper_id", "section_title", "section_text").distinct()
+    texts = rows.select("node_id", F.concat_ws(" ", "section_title", "section_text").alias("text"))
+    direct = rank_documents(texts, _queries(spark, root), key="node_id", text="text", query_key="query", query_text="wording", k=100)
+    sections = rows.select(F.col("node_id").alias("section"), F.col("paper_id").alias("paper"), metadata.section_role(F.col("section_title")).alias("role"))
+    e = table(spark, root, "edges").where(F.col("edge_type").startswith("section_mentions_")).select(F.col("source_id").alias("section"), F.col("target_id").alias("entity"), (F.col("confidence") > 0.95).alias("exact"))
+    d = direct.select("query", F.col("key").alias("section"), "score")
+    hits = d.select("query", "section").join(e.distinct(), "section")
+    return evidence.diversify(evidence.rank_sections(d, sections, hits, "semantic", 6), ["query", "paper"], "role", 3)
