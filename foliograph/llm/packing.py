@@ -82,10 +82,13 @@ def fill(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return containers
 
 
-def pack(df: DataFrame, *, key: str, size: str, capacity: int, window_rows: int = 8192) -> DataFrame:
-    """(key, piece, n_tokens, container) of every item; container is `window-number`."""
+def pack(df: DataFrame, *, key: str, size: str, capacity: int, rows: int | None = None, window_rows: int = 8192) -> DataFrame:
+    """(key, piece, n_tokens, container) of every item; container is `window-number`.
+
+    `rows` is the number of items where the caller knows it; else `df` is counted.
+    """
     kind = df.schema[key].dataType
-    windows = max(1, -(-row_bound(df) // window_rows))
+    windows = max(1, -(-(row_bound(df) if rows is None else rows) // window_rows))
     schema = T.StructType(
         [
             T.StructField(key, kind),

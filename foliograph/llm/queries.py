@@ -13,7 +13,7 @@ from foliograph.llm.packing import pack
 from foliograph.llm.scans import Scans, defects, examine, repair
 from foliograph.llm.splitting import split_oversized
 from foliograph.llm.variants import entity_pairs, group_variants
-from foliograph.sources.store import table
+from foliograph.sources.store import row_bound, table
 
 
 def _limits(spark: SparkSession, root: str, use: str) -> tuple[int, int]:
@@ -136,8 +136,9 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     """The container of every document, or of every piece of a document above the capacity."""
     capacity, _ = _limits(spark, root, "pack_documents")
-    sizes = count_tokens(table(spark, root, "documents"), "doc_id", "text")
-    return pack(sizes, key="doc_id", size="n_tokens", capacity=capacity)
+    documents = table(spark, root, "documents")
+    sizes = count_tokens(documents, "doc_id", "text")
+    return pack(sizes, key="doc_id", size="n_tokens", capacity=capacity, rows=row_bound(documents))
 
 
 def p10_scores(spark: SparkSession, root: str) -> DataFrame:
