@@ -72,9 +72,13 @@ def entity_key(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+#: fixed values: words and numbers of titles, and the units of the token estimate
+TOKEN, ESTIMATE_UNIT = r"([A-Za-z]+(?:[-'][A-Za-z0-9]+)*|\d+(?:\.\d+)?)", r"[一-鿿]|[A-Za-z0-9_]+|[^\s]"
+
+
 def similarity_tokens(c: str | Column) -> Column:
     """Words and numbers in lower case without stop words, integers and tokens under 3 characters."""
-    words = F.regexp_extract_all(_col(c), F.lit(r"([A-Za-z]+(?:[-'][A-Za-z0-9]+)*|\d+(?:\.\d+)?)"), 1)
+    words = F.regexp_extract_all(_col(c), F.lit(TOKEN), 1)
     return F.filter(
         F.transform(words, F.lower), lambda w: (F.length(w) >= 3) & ~w.isin(STOPWORDS) & ~w.rlike(r"^\d+$")
     )
@@ -108,7 +112,7 @@ def preview(c: str | Column, size: int) -> Column:
 
 def token_estimate(c: str | Column) -> Column:
     """0.9 tokens for each ideograph, word or other sign, rounded up."""
-    return F.ceil(F.regexp_count(_col(c), F.lit(r"[一-鿿]|[A-Za-z0-9_]+|[^\s]")) * F.lit(0.9)).cast("bigint")
+    return F.ceil(F.regexp_count(_col(c), F.lit(ESTIMATE_UNIT)) * F.lit(0.9)).cast("bigint")
 
 
 def year_text(c: str | Column) -> Column:

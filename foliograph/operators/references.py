@@ -23,11 +23,16 @@ from foliograph.sources.store import row_bound
 
 
 def lifetimes(records: DataFrame, key: str, born: str, died: str) -> DataFrame:
-    """Per key the distinct lifetimes of its records."""
+    """Per key the lifetimes of its records, those with one end as one: the earliest of them contains the others.
+
+    Re-deliveries of a record that lives on thus collapse before the shuffle, however many they are.
+    """
     return (
         records.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("ref"))
-        .agg(F.collect_set(F.struct(F.col(born).alias("born"), F.col(died).alias("died"))).alias("lives"))
+        .groupBy(F.col(key).alias("ref"), F.col(died).alias("died"))
+        .agg(F.min(born).alias("born"))
+        .groupBy("ref")
+        .agg(F.collect_list(F.struct("born", "died")).alias("lives"))
     )
 
 
