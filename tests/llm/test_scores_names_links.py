@@ -113,6 +113,25 @@ def test_linkage(spark):
     assert title_similarity(["a"], ["a"]) == (1.0, 1.0)
 
 
+def test_linkage_titles_of_all(spark):
+    # c1's only key leads to the wrong paper q2; c2 shares one triple each with q3 and q5; c3 shares no triple, and keys only of its short words
+    papers = [
+        ("q1", "From Bibliography to Folio: Frozen Heading Recovery with Visiamero", "2022", ["Tarek Daltdan"]),
+        ("q2", "Recovery of Harbour Maps", "2015", ["Tarek Daltadan"]),
+        ("q3", "Ledger Plates Joined under Quarry Weather Sings Read", "2018", ["Mira Olsenby"]),
+        ("q4", "Cartographers Tar Nets Archaeologists Oil Rope Bibliographers Silk Jute", "2011", ["Ivo Brannick"]),
+        ("q5", "Weather Signs Read by Harbour Pilots", "2004", ["Una Teld"]),
+    ]
+    cites = [
+        ("c1", "From Bibliography to Folio: Frozen Heading Recovery with Visiamero", "2022", "Daltadan, T."),
+        ("c2", "Ledger Plates Joined under Quarrry Weather Signs Read", "2018", None),
+        ("c3", "Kartographers Tar Nets Srchaeologists Oil Rope Vibliographers Silk Jute", "2011", "Brannick, I."),
+    ]
+    c = spark.createDataFrame(cites, "key string, title string, year string, authors string")
+    p = spark.createDataFrame(papers, "key string, title string, year string, authors array<string>")
+    assert {r.key: r.paper for r in match_citations(c, p).collect()} == {"c1": "q1", "c2": "q3", "c3": "q4"}
+
+
 def test_boosting():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
