@@ -5,7 +5,8 @@ or text, and every pair of a line that ends in a hyphen-like mark and the next l
 of text as a broken word or not, both by boosted trees trained on the sample
 paragraphs with their correct readings; what is known of the paper (its title, the
 venues) marks further headers. Words next: the words of unscanned texts are the
-lexicon. Words of scanned texts outside it meet the lexicon in an inverted join on
+lexicon: the common ones are sent to all tasks, the others are joined to the records
+that look them up. Words of scanned texts outside it meet the lexicon in an inverted join on
 character q-grams (the rarest of each word, by the lexicon's counts), and boosted
 trees rank the candidates by what was replaced by what, how often the samples show
 that, and how common the candidate is. Corrections are made per distinct word.
@@ -21,7 +22,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -258,8 +259,8 @@ class Reading:
     text: str
 
 
-def read_lines(text: str, title: str | None, venues: frozenset[str], lexicon, models: Models) -> Reading:
-    """Removes furniture and joins broken words; paragraphs keep their blank lines."""
+def _text_lines(text: str, title: str | None, venues: frozenset[str], models: Models) -> tuple[list[str], set[str]]:
+    """(lines without furniture, defects of furniture)."""
     raw = re.split(r"\r?\n", text)
     filled = [i for i, x in enumerate(raw) if x.strip()]
     defects: set[str] = set()
@@ -291,26 +292,88 @@ def read_lines(text: str, title: str | None, venues: frozenset[str], lexicon, mo
         if header or page and not rest and odd.get(i, 0) >= 0.5:
             drop.add(i)
             defects |= ({"header"} if header else set()) | ({"page_no"} if page else set())
-    kept = [raw[i] for i in range(len(raw)) if i not in drop]
+    return [raw[i] for i in range(len(raw)) if i not in drop], defects
+
+
+def _join_lines(kept: list[str], mark_for: Callable[[str, str, str, int], str]) -> list[str]:
+    """Lines with cut words put together by mark_for(left, mark, right, place in a word of several cuts)."""
     out: list[str] = []
+    turn = 0
     for line in kept:
         prior = out[-1].rstrip() if out else ""
         begin = line.lstrip()
         if prior and begin and prior[-1] in HYPHENS and prior[-2:-1].isalpha() and begin[0].isalpha():
             left, right = prior[:-1].split()[-1].strip(_EDGE), begin.split()[0].strip(_EDGE)
-            broken = models.hyphen.predict(np.array([hyphen_features(left, prior[-1], right, lexicon)]))[0] >= 0.5
-            if broken:
-                defects.add("hyphen")
-            compound = f"{left}-{right}".lower() in lexicon and f"{left}{right}".lower() not in lexicon
             first, _, later = begin.partition(" ")
-            out[-1] = prior[:-1] + ("-" if compound or not broken else "") + first
+            out[-1] = prior[:-1] + mark_for(left, prior[-1], right, turn) + first
+            turn += 1
             if later:
                 out.append(later)
+                turn = 0
         else:
             out.append(line)
+            turn = 0
+    return out
+
+
+def read_lines(text: str, title: str | None, venues: frozenset[str], lexicon, models: Models) -> Reading:
+    """Removes furniture and joins broken words; paragraphs keep their blank lines."""
+    kept, defects = _text_lines(text, title, venues, models)
+
+    def mark_for(left: str, mark: str, right: str, turn: int) -> str:
+        broken = models.hyphen.predict(np.array([hyphen_features(left, mark, right, lexicon)]))[0] >= 0.5
+        if broken:
+            defects.add("hyphen")
+        compound = f"{left}-{right}".lower() in lexicon and f"{left}{right}".lower() not in lexicon
+        return "-" if compound or not broken else ""
+
+    out = _join_lines(kept, mark_for)
     return Reading(out, defects, "\n".join(out))
 
 
+class _Known:
+    """The words all tasks have and those a record has been told of."""
+
+    def __init__(self, common, own) -> None:
+        self.common, self.own = common, frozenset(own if own is not None else ())
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.common or word in self.own
+
+
+class _Asking:
+    """Stands for a lexicon and notes the words that only the full one can tell."""
+
+    def __init__(self, common) -> None:
+        self.common, self.asked = common, set()
+
+    def __contains__(self, word: str) -> bool:
+        if word in self.common:
+            return True
+        if _countable(word):
+            self.asked.add(word)
+        return False
+
+
+def lookups(text: str, title: str | None, venues: frozenset[str], common, models: Models) -> set[str]:
+    """The words outside `common` that reading the text and finding its suspects may look up, however cut words are joined."""
+    kept, _ = _text_lines(text, title, venues, models)
+    asking = _Asking(common)
+    longest = 0
+    pattern = 0
+    while pattern < 2**longest or not pattern:
+
+        def mark_for(left: str, mark: str, right: str, turn: int) -> str:
+            nonlocal longest
+            longest = max(longest, turn + 1)
+            hyphen_features(left, mark, right, asking)
+            return "-" if pattern >> turn & 1 else ""
+
+        suspects("\n".join(_join_lines(kept, mark_for)), asking)
+        pattern += 1
+    return asking.asked
+
+
 def suspects(text: str, lexicon) -> set[str]:
     """Words outside the lexicon, and neighbours that are a word of it together."""
     found: set[str] = set()
@@ -326,7 +389,7 @@ def suspects(text: str, lexicon) -> set[str]:
                 found.add(word)
         if i and not ends[i - 1] and words[i - 1] and word:
             pair = words[i - 1] + word
-            if len(pair) > 3 and (unknown or words[i - 1] not in lexicon) and pair in lexicon and pair.isalpha():
+            if len(pair) > 3 and (unknown or words[i - 1] not in lexicon) and pair.isalpha() and pair in lexicon:
                 found.add(f"{words[i - 1]} {word}")
                 found.discard(word)
                 found.discard(words[i - 1])
@@ -346,21 +409,49 @@ def token_qgrams(word: str) -> list[str]:
     return sorted({*qgrams(word), *(f"{bare[:1]}~{bare[-1:]}{len(bare) + k}" for k in (-1, 1))})
 
 
+def _countable(word: str) -> bool:
+    return len(word) > 1 and not word[0].isdigit()
+
+
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(word, n) partial counts, one pass over each batch."""
     for batch in batches:
         counts: Counter = Counter()
         for text in batch.iloc[:, 0]:
             counts.update(map(strip_word, re.split(r"[\s;|；/]+", text)))
-        rows = [(w, n) for w, n in counts.items() if len(w) > 1 and not w[0].isdigit()]
+        rows = [(w, n) for w, n in counts.items() if _countable(w)]
         yield pd.DataFrame(rows, columns=["word", "n"])
 
 
-def build_lexicon(texts: DataFrame, share: float = 2e-6, least: int = 3) -> DataFrame:
-    """(word, n) of the words of `texts` that hold more than `share` of all words: at most 1 / share rows at any size."""
+def build_lexicon(texts: DataFrame, share: float = 2e-6, least: int = 3) -> tuple[DataFrame, int]:
+    """((word, n) of the words of `texts` that stand there `least` times, count from which a word is common).
+
+    Common words hold more than `share` of all words: at most 1 / share rows at any size.
+    """
     counts = settle(texts.where(F.length("text") > 0).select("text").mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return counts.where(F.col("n") >= max(least, int(total * share) + 1))
+    return settle(counts.where(F.col("n") >= least)), max(least, int(total * share) + 1)
+
+
+RECORD = ["src_table", "rec_id"]
+
+
+def _ask(shared):
+    """(src_table, rec_id, word): what each record has to be told of the full lexicon."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models, common, venues = shared.value
+        for batch in batches:
+            rows = [(src, rec, w) for src, rec, text, title in batch.itertuples(index=False) for w in lookups(text, title, venues, common, models)]
+            yield pd.DataFrame(rows, columns=[*RECORD, "word"])
+
+    return run
+
+
+def _told(scanned: DataFrame, known: DataFrame | None) -> DataFrame:
+    """`scanned` with `known`, the words of the full lexicon that a record looks up beside the common ones."""
+    none = F.lit(None).cast("array<string>").alias("known")
+    return scanned.select("*", none) if known is None else scanned.join(known, RECORD, "left")
 
 
 FOUND = T.StructType([T.StructField(n, T.StringType()) for n in ("src_table", "rec_id", "defect", "token")])
@@ -370,10 +461,11 @@ def _first_pass(shared):
     """FOUND rows: defects of lines, and suspect words with the defect still open."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models, lexicon, venues = shared.value
+        models, common, venues = shared.value
         for batch in batches:
             rows = []
-            for src, rec, text, title in batch.itertuples(index=False):
+            for src, rec, text, title, known in batch.itertuples(index=False):
+                lexicon = _Known(common, known)
                 reading = read_lines(text, title, venues, lexicon, models)
                 rows += [(src, rec, d, None) for d in reading.defects]
                 rows += [(src, rec, None, t) for t in suspects(reading.text, lexicon)]
@@ -435,6 +527,7 @@ class Scans:
     found: DataFrame
     corrected: DataFrame
     shared: object
+    known: DataFrame | None
 
 
 def examine(scanned: DataFrame, clean: DataFrame, samples: DataFrame, venues: DataFrame) -> Scans:
@@ -443,13 +536,19 @@ def examine(scanned: DataFrame, clean: DataFrame, samples: DataFrame, venues: Da
     `venues` (name) is the fixed set of venue names.
     """
     models = learn([(r[0], r[1]) for r in samples.select("raw_text", "clean_text").collect()])
-    lexicon = settle(build_lexicon(clean))
-    words = {r[0]: r[1] for r in lexicon.collect()}
+    lexicon, common = build_lexicon(clean)
+    words = {r[0]: r[1] for r in lexicon.where(F.col("n") >= common).collect()}
     names = frozenset(_flat(r[0]) for r in venues.where(F.col("name").isNotNull()).select("name").distinct().collect())
     shared = scanned.sparkSession.sparkContext.broadcast((models, words, names))
-    found = settle(scanned.where(F.length(F.trim("text")) > 0).select("src_table", "rec_id", "text", "title").mapInPandas(_first_pass(shared), FOUND))
+    filled = scanned.where(F.length(F.trim("text")) > 0).select(*RECORD, "text", "title")
+    rarer = lexicon.where(F.col("n") < common).select("word")
+    known = None
+    if rarer.head(1):  # else the common words are all there are
+        asked = filled.mapInPandas(_ask(shared), "src_table string, rec_id string, word string")
+        known = settle(asked.join(rarer, "word").groupBy(*RECORD).agg(F.collect_set("word").alias("known")))
+    found = settle(_told(filled, known).select(*RECORD, "text", "title", "known").mapInPandas(_first_pass(shared), FOUND))
     tokens = found.where(F.col("token").isNotNull()).select("token").distinct()
-    return Scans(found, corrections(tokens, lexicon, shared), shared)
+    return Scans(found, corrections(tokens, lexicon, shared), shared, known)
 
 
 def defects(scans: Scans) -> DataFrame:
@@ -461,11 +560,11 @@ def defects(scans: Scans) -> DataFrame:
 
 def _repair(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models, lexicon, venues = shared.value
+        models, common, venues = shared.value
         for batch in batches:
             rows = []
-            for src, rec, text, title, fixes in batch.itertuples(index=False):
-                text = read_lines(text, title, venues, lexicon, models).text if text else text
+            for src, rec, text, title, known, fixes in batch.itertuples(index=False):
+                text = read_lines(text, title, venues, _Known(common, known), models).text if text else text
                 for fix in fixes if fixes is not None else []:
                     pattern = re.compile(rf"(?<![^\W_]){re.escape(fix['token'])}(?![^\W_])".replace(r"\ ", r"\s+"), re.IGNORECASE)
                     text = pattern.sub(lambda m, w=fix["word"]: w.capitalize() if m[0][0].isupper() else w, text)
@@ -484,5 +583,5 @@ def repair(scanned: DataFrame, scans: Scans) -> DataFrame:
         .groupBy("src_table", "rec_id")
         .agg(F.sort_array(F.collect_set(F.struct("token", "word"))).alias("fixes"))
     )
-    rows = scanned.join(fixes, ["src_table", "rec_id"], "left").select("src_table", "rec_id", "text", "title", "fixes")
+    rows = _told(scanned, scans.known).join(fixes, RECORD, "left").select(*RECORD, "text", "title", "known", "fixes")
     return rows.mapInPandas(_repair(scans.shared), "src_table string, rec_id string, text string")

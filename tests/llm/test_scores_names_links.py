@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliograph.llm.boosting import Boosted
 from foliograph.llm.harmful import fold, score_documents, train, units
@@ -187,3 +188,17 @@ def test_scans(spark):
     assert got == {("1", "hyphen"), ("1", "header"), ("1", "page_no"), ("1", "misread"), ("5", "header")}
     texts = {r.rec_id: r.text for r in repair(scanned, scans).collect()}
     assert texts["1"] == "We rank the node edges over the quarry accounts and the page graphs over the quarry accounts and the harbour ledgers." and texts["2"] is None
+
+
+def test_scans_rare_words(spark):
+    # 2.4 million words: a word that stands there three times holds less than 2e-6 of them
+    plain = "we rank the node edges over quarry accounts and harbour ledgers for page graphs "
+    clean = spark.range(40).select(F.repeat(F.lit(plain), 4300).alias("text")).union(spark.createDataFrame([("we rank visiamero and zulcheband over lumkanvik-gauges",)] * 3, "text string"))
+    rows = [("t", "1", "We rank the visiarnero edges.", None), ("t", "2", "We rank visiamero and zulche band.", None), ("t", "3", "We rank visia-\nmero and lumkanvik-\ngauges over quarry.", None)]
+    scanned = spark.createDataFrame(rows, "src_table string, rec_id string, text string, title string")
+    scans = examine(scanned, clean, spark.createDataFrame(SAMPLES, "raw_text string, clean_text string"), spark.createDataFrame([("V",)], "name string"))
+    tokens = {(r.rec_id, r.token) for r in scans.found.where("token IS NOT NULL").collect()}
+    assert tokens == {("1", "visiarnero"), ("2", "zulche band")}
+    assert {r.token: r.word for r in scans.corrected.collect()}["visiarnero"] == "visiamero"
+    texts = {r.rec_id: r.text for r in repair(scanned, scans).collect()}
+    assert texts["1"] == "We rank the visiamero edges." and texts["3"] == "We rank visiamero and lumkanvik-gauges over quarry."
