@@ -11,7 +11,7 @@ from foliograph.operators import evidence, metadata
 from foliograph.operators import windows
 from foliograph.operators.mentions import mentions
 from foliograph.operators.structure import chunk_papers
-from foliograph.operators.tfidf import rank_documents
+from foliograph.operators.tfidf import score_documents
 from foliograph.sources.store import table
 
 QUERIES: dict = {}
@@ -238,9 +238,10 @@ def section_ranking(spark: SparkSession, root: str) -> DataFrame:
     """The sections of each paper for a query, at most three, of different roles first."""
     rows = table(spark, root, "nodes").where(F.col("node_type") == "section").select("node_id", "paper_id", "section_title", "section_text").distinct()
     texts = rows.select("node_id", F.concat_ws(" ", "section_title", "section_text").alias("text"))
-    direct = rank_documents(texts, _queries(spark, root), key="node_id", text="text", query_key="query", query_text="wording", k=100)
+    asked = _queries(spark, root)
+    direct = score_documents(texts, asked, key="node_id", text="text", query_key="query", query_text="wording")
     sections = rows.select(F.col("node_id").alias("section"), F.col("paper_id").alias("paper"), metadata.section_role(F.col("section_title")).alias("role"))
     e = table(spark, root, "edges").where(F.col("edge_type").startswith("section_mentions_")).select(F.col("source_id").alias("section"), F.col("target_id").alias("entity"), (F.col("confidence") > 0.95).alias("exact"))
     d = direct.select("query", F.col("key").alias("section"), "score")
-    hits = d.select("query", "section").join(e.distinct(), "section")
-    return evidence.diversify(evidence.rank_sections(d, sections, hits, "semantic", 6), ["query", "paper"], "role", 3)
+    ranked = evidence.rank_sections(asked.select("query").distinct(), d, sections, e.distinct(), "semantic")
+    return evidence.diversify(ranked, ["query", "paper"], "role", 3)

@@ -1,4 +1,5 @@
 from foliograph.operators.evidence import diversify, owners, rank_figures, shrink
+from foliograph.plans.paper_queries import section_ranking
 
 
 def test_shrink_gives_in_order():
@@ -29,3 +30,14 @@ def test_figures(spark):
     q = spark.createDataFrame([("q", "chart of drift", ["chart", "image"])], "query string, wording string, kinds array<string>")
     got = [r.figure for r in rank_figures(f, q, 5).orderBy("place").collect()]
     assert got == ["a", "b"]
+
+
+def test_sections_of_every_paper(spark, tmp_path):
+    # 130 papers of two sections each, in one of which nothing of the query stands
+    rows = [(f"s{i:03d}{part}", "section", f"p{i:03d}", title, text) for i in range(130) for part, title, text in (("a", "Results", "page drift of graphs"), ("b", "Method", "xyz"))]
+    spark.createDataFrame(rows, "node_id string, node_type string, paper_id string, section_title string, section_text string").write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame([("q1", "drift of graphs"), ("q2", "page")], "query_id string, query string").write.parquet(f"{tmp_path}/query_cases.parquet")
+    spark.createDataFrame([("section_mentions_method", "s000b", "e", 1.0)], "edge_type string, source_id string, target_id string, confidence double").write.parquet(f"{tmp_path}/edges.parquet")
+    got = section_ranking(spark, str(tmp_path)).collect()
+    assert {(r.query, r.section) for r in got} == {(q, r[0]) for q in ("q1", "q2") for r in rows}
+    assert next(r.score for r in got if r.section == "s000b" and r.query == "q1") > next(r.score for r in got if r.section == "s001b" and r.query == "q1")
