@@ -9,7 +9,7 @@ from foliograph.functions import text as tx
 from foliograph.operators import graph as g
 from foliograph.operators import ranking as rk
 from foliograph.operators.paper_rank import phase_one, rank_papers
-from foliograph.operators.tfidf import ngram_counts, rank_documents
+from foliograph.operators.tfidf import ngram_counts, rank_documents, score_documents
 from foliograph.sources.store import row_bound, table
 
 #: fixed values: shared-entity relations and their base weights
@@ -476,7 +476,7 @@ def paragraph_counts(spark: SparkSession, root: str) -> DataFrame:
 def ranked_papers(spark: SparkSession, root: str) -> DataFrame:
     """Papers for each query from text, named entities, coverage and cross-paper support."""
     papers = table(spark, root, "papers").select("node_id", F.concat_ws(" ", "title", "abstract").alias("text"))
-    direct = rank_documents(papers, table(spark, root, "query_cases"), key="node_id", text="text", query_key="query_id", query_text="query", k=200)
+    direct = score_documents(papers, table(spark, root, "query_cases"), key="node_id", text="text", query_key="query_id", query_text="query")
     direct = direct.select("query", F.col("key").alias("paper"), "score")
     asked = table(spark, root, "query_cases").select(F.col("query_id").alias("query"))
     matches = exact_entity_match(spark, root).join(asked, "query", "left_semi").select("query", F.col("node_id").alias("entity"), F.col("node_type").alias("kind"))

@@ -1,4 +1,5 @@
 from foliograph.operators.evidence import diversify, owners, rank_figures, shrink
+from foliograph.plans import graph_queries
 from foliograph.plans.paper_queries import section_ranking
 
 
@@ -41,3 +42,28 @@ def test_sections_of_every_paper(spark, tmp_path):
     got = section_ranking(spark, str(tmp_path)).collect()
     assert {(r.query, r.section) for r in got} == {(q, r[0]) for q in ("q1", "q2") for r in rows}
     assert next(r.score for r in got if r.section == "s000b" and r.query == "q1") > next(r.score for r in got if r.section == "s001b" and r.query == "q1")
+
+
+def test_figures_have_full_scores(spark):
+    # twelve equal labels; a cut of a channel gave the last of them no label score
+    rows = [(f"f{i:02d}", "image", "drift of logs" if i == 11 else "some other page", "x", "figure 2") for i in range(12)]
+    f = spark.createDataFrame(rows, "figure string, kind string, body string, caption string, label string")
+    q = spark.createDataFrame([("q", "drift in figure 2", [])], "query string, wording string, kinds array<string>")
+    few, all_of_them = ([(r.figure, r.score) for r in rank_figures(f, q, k).orderBy("place").collect()] for k in (1, 12))
+    assert few == all_of_them[:1] and few[0][0] == "f11"
+
+
+def test_papers_have_direct_scores(spark, tmp_path, monkeypatch):
+    # the direct scores of 210 papers go into the sum
+    papers = [(f"n{i:03d}", f"Drift of logs {i}", None) for i in range(210)]
+    spark.createDataFrame(papers, "node_id string, title string, abstract string").write.parquet(f"{tmp_path}/papers.parquet")
+    spark.createDataFrame([("q", "drift of logs")], "query_id string, query string").write.parquet(f"{tmp_path}/query_cases.parquet")
+    edges = "edge_id string, edge_type string, source_id string, target_id string, confidence double, source string, mention_count long"
+    spark.createDataFrame([], edges).write.parquet(f"{tmp_path}/edges.parquet")
+    none = spark.createDataFrame([], "query string, node_id string, node_type string")
+    seen = []
+    monkeypatch.setattr(graph_queries, "exact_entity_match", lambda *_: none)
+    monkeypatch.setattr(graph_queries, "_cross", lambda *_: none)
+    monkeypatch.setattr(graph_queries, "rank_papers", lambda parts, cross, k: seen.append(parts) or parts)
+    graph_queries.ranked_papers(spark, str(tmp_path))
+    assert seen[0].where("component = 'direct'").count() == 210
