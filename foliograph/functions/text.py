@@ -110,9 +110,13 @@ def preview(c: str | Column, size: int) -> Column:
     return F.when(F.length(text) <= size, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, size)), F.lit("...")))
 
 
-def token_estimate(c: str | Column) -> Column:
+#: the same with the blanks of every script, as Python tells them
+ANY_ESTIMATE_UNIT = r"[一-鿿]|[A-Za-z0-9_]+|[^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def token_estimate(c: str | Column, unit: str = ESTIMATE_UNIT) -> Column:
     """0.9 tokens for each ideograph, word or other sign, rounded up."""
-    return F.ceil(F.regexp_count(_col(c), F.lit(ESTIMATE_UNIT)) * F.lit(0.9)).cast("bigint")
+    return F.ceil(F.regexp_count(_col(c), F.lit(unit)) * F.lit(0.9)).cast("bigint")
 
 
 def year_text(c: str | Column) -> Column:

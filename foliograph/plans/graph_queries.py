@@ -396,6 +396,13 @@ def char_ngram_counts(spark: SparkSession, root: str) -> DataFrame:
     return ngram_counts(titles, "paper_id", "title").where(F.col("gram").rlike("^[ -~]+$"))
 
 
+@query()
+def all_char_ngram_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Character n-grams of every title, of all letters (tested against plain Python)."""
+    titles = table(spark, root, "papers").where(F.col("title").isNotNull()).select("paper_id", "title").distinct()
+    return ngram_counts(titles, "paper_id", "title")
+
+
 @query()
 def tfidf_topk(spark: SparkSession, root: str) -> DataFrame:
     """The ten papers nearest to each query by n-gram TF-IDF of title and abstract (tested against plain Python)."""
@@ -429,6 +436,13 @@ def token_estimates(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", tx.token_estimate("text").alias("tokens")).distinct()
 
 
+@query()
+def all_token_estimates(spark: SparkSession, root: str) -> DataFrame:
+    """Estimated tokens of every document, of all characters (tested against plain Python)."""
+    rows = table(spark, root, "documents").where(F.col("text").isNotNull())
+    return rows.select("doc_id", tx.token_estimate("text", tx.ANY_ESTIMATE_UNIT).alias("tokens")).distinct()
+
+
 @query(
     """SELECT DISTINCT node_id, CASE WHEN lower(section_title) LIKE '%abstract%' THEN 'abstract' WHEN regexp_matches(lower(section_title), 'introduction|background') THEN 'introduction'
 WHEN regexp_matches(lower(section_title), 'method|materials|patients|cohort|study design') THEN 'methods' WHEN regexp_matches(lower(section_title), 'result|finding') THEN 'results'
