@@ -56,11 +56,18 @@ def fold(text: str) -> str:
 
 
 def _windows(unit: str) -> list[str]:
-    """A long unit as overlapping windows that begin at words, so that no harmless neighbour dilutes a short phrase."""
+    """A long unit as overlapping windows, so that no harmless neighbour dilutes a short phrase.
+
+    They begin at words, but never more than half a window back, and the last one ends
+    with the unit: every character is in a window, also where there are no blanks.
+    """
     if len(unit) <= LONGEST:
         return [unit]
-    starts = [unit.rfind(" ", 0, at) + 1 for at in range(0, len(unit) - LONGEST // 2, LONGEST // 2)]
-    return [unit[a : a + LONGEST] for a in dict.fromkeys(starts)]
+    half = LONGEST // 2
+    starts = [max(unit.rfind(" ", 0, at) + 1, at - half) for at in range(0, len(unit) - half, half)]
+    if starts[-1] + LONGEST < len(unit):
+        starts.append(len(unit) - LONGEST)
+    return [unit[a : a + LONGEST] for a in dict.fromkeys(max(0, a) for a in starts)]
 
 
 def units(text: str | None) -> list[str]:

@@ -1,11 +1,12 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foliograph.llm.boosting import Boosted
-from foliograph.llm.harmful import fold, score_documents, train, units
+from foliograph.llm.harmful import LONGEST, _windows, fold, score_documents, train, units
 from foliograph.llm.linkage import match_citations, title_similarity, year_of
 from foliograph.llm.names import edits, organisation, person
 from foliograph.llm.one_ranking import combine_scores, loadings, top_items
@@ -166,6 +167,17 @@ def test_harmful(spark):
     assert fold("M0r0nnnnn, 12 tim3s") == fold("moron, 9 times") and units("  ") == []
 
 
+@pytest.mark.parametrize("unit", ["".join(chr(0x4E00 + i) for i in range(900)), "ab " * 40 + "".join(chr(0x4E00 + i) for i in range(417)), "".join(chr(0x4E00 + i) for i in range(150)) + "".join(f" v{i:03d}" for i in range(30)), " ".join(f"w{i:04d}" for i in range(70))])
+def test_windows_cover_the_unit(unit):
+    got = _windows(unit)
+    reached = 0
+    for w in got:
+        starts = [m.start() for m in re.finditer(re.escape(w), unit)]
+        assert starts and len(w) <= LONGEST and starts[0] <= reached
+        reached = max(reached, max(s for s in starts if s <= reached) + len(w))
+    assert reached == len(unit)
+
+
 SAMPLES = [
     ("The page reader was trai-\nned on quarry accounts.\n– 3 –\nCosts grow with th¢ number.", "The page reader was trained on quarry accounts. Costs grow with the number."),
     ("A plain node graph was tested over the harbour ledg¬\ners and the river charts.\nLumkan et al.\nEdges are pruncd.", "A plain node graph was tested over the harbour ledgers and the river charts. Edges are pruned."),
