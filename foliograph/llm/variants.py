@@ -161,17 +161,14 @@ def _verify(shared, threshold: float):
 
 
 def similar_units(units: DataFrame, shared, threshold: float) -> DataFrame:
-    """LINKS between units (kind, block, stem) of one block whose stems' cosine reaches the threshold.
-
-    Stems whose lengths differ by more than SHIFT are not compared: their ends could not both match.
-    """
+    """LINKS between units (kind, block, stem) of one block whose stems' cosine reaches the threshold, whatever their lengths."""
     distinct = units.where(F.length("stem") > 0).select(F.concat_ws("|", "kind", "block", "stem").alias("unit")).distinct()
     prefixes = settle(distinct.mapInPandas(_prefixes(shared, threshold), PREFIXES))
     other = prefixes.select(F.col("unit").alias("b"), "feature", F.col("place").alias("there"))
     pairs = (
         prefixes.withColumnRenamed("unit", "a")
         .join(other, "feature")
-        .where((F.col("a") < F.col("b")) & (F.abs(F.col("place") - F.col("there")) <= SHIFT) & (F.abs(F.length("a") - F.length("b")) <= SHIFT))
+        .where((F.col("a") < F.col("b")) & (F.abs(F.col("place") - F.col("there")) <= SHIFT))
         .select("a", "b")
         .distinct()
     )

@@ -11,7 +11,7 @@ from foliograph.llm.linkage import match_citations, title_similarity, year_of
 from foliograph.llm.names import edits, organisation, person
 from foliograph.llm.one_ranking import combine_scores, loadings, top_items
 from foliograph.llm.scans import defects, examine, learn, page_part, read_lines, repair
-from foliograph.llm.variants import average_linkage, entity_pairs, given_agreement, group_variants
+from foliograph.llm.variants import average_linkage, entity_pairs, given_agreement, group_variants, similar_units
 
 
 def test_one_ranking(spark):
@@ -90,6 +90,14 @@ def test_variants(spark):
     assert group_variants(spark.createDataFrame([], "rec string, kind string, name string")).count() == 0
 
 
+def test_stems_of_unlike_lengths(spark):
+    stems = ["grunsomtander", "grunsomtan", "zulcheband"]
+    units = spark.createDataFrame([("person", "d", s) for s in stems], "kind string, block string, stem string")
+    shared = spark.sparkContext.broadcast({})
+    got = {(r[0].rsplit("|")[-1], r[1].rsplit("|")[-1]) for r in similar_units(units, shared, 0.4).collect()}
+    assert {tuple(sorted(g)) for g in got} == {("grunsomtan", "grunsomtander")}
+
+
 def test_linkage(spark):
     papers = [
         ("p1", "Masked Page Graphs for River Gauge Charts", "2019", ["Ann Greenson", "Bob Whitfield"]),
