@@ -117,7 +117,8 @@ def organisation(name: str | None) -> tuple[str, str] | None:
 
     Parts between commas are read until both a kind and a place are known.
     """
-    text = re.sub(r"^\s*[(\[]?\d+[)\].]?\s*", "", (name or "")).replace("’", "'").replace("'l", "l")
+    text = re.sub(r"^\s*[(\[]?\d+[)\].]?\s*", "", (name or ""))
+    text = re.sub(r"['’](?=l\b)", "", text, flags=re.IGNORECASE)
     kind: set[str] = set()
     place: list[str] = []
     for part in text.split(","):
@@ -126,8 +127,10 @@ def organisation(name: str | None) -> tuple[str, str] | None:
         words = re.findall(r"[a-z]+(?:-[a-z]+)*", fold(part).replace(".", " "))
         got: list[str] = []
         for word in words:
-            if word in _LINKS:
+            if word in _LINKS or len(word) == 1 and word not in _EXPAND:  # a letter alone is a shortened link word
                 continue
+            if word not in _EXPAND and word not in _ACRONYMS and any(len(w) > 4 and w != word for w in words):
+                word = _near_form(word) or word
             for w in _ACRONYMS.get(word, _EXPAND.get(word, word)).split():
                 if w in _TECH:
                     w = "technology" if "institute" in kind or "inst" in words or "institute" in words else "technical"
@@ -147,6 +150,14 @@ def organisation(name: str | None) -> tuple[str, str] | None:
     return umlaut(" ".join(place)), " ".join(sorted(kind))
 
 
+@lru_cache(maxsize=100_000)
+def _near_form(word: str) -> str | None:
+    """The short or foreign form that `word` misspells by one letter, if any."""
+    if word in _ORG_WORDS or not 2 < len(word) < 5 and len(word) < 8:
+        return None
+    return next((w for w in sorted(_EXPAND) if len(w) > 2 and (len(w) < 5) == (len(word) < 5) and edits(word, w, 1) <= 1), None)
+
+
 @lru_cache(maxsize=100_000)
 def _near_kind(word: str) -> str | None:
     """The word of organisations that `word` misspells by one letter, if any."""

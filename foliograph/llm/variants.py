@@ -6,10 +6,13 @@ organisation). The first part becomes a vector of character trigrams weighted by
 rarity. Vectors meet in an inverted join inside their block (first initial, kind),
 on prefix features only: trigrams are ordered from rare to common, and a vector's
 prefix is what it needs so that the rest is shorter than the threshold. Two vectors
-whose cosine reaches the threshold share a prefix feature, so no link is lost
-and no list is capped. Linked units form components; inside each, the distinct
-names are grouped by average linkage over a similarity that multiplies the cosine
-with the agreement of given names, where contradicting given names bar a merge.
+whose cosine reaches the threshold share a prefix feature, and no list is capped.
+A pair that meets is weighed by the mistakes of typing between its stems, whose
+number is bounded by the stems' length: two names of one ending stay apart however
+rare its trigrams are. The bounds on lengths and places in the join follow from that
+number, so they drop no pair that the weight keeps. Linked units form components;
+inside each, the distinct names are grouped by average linkage over the weight times
+the agreement of given names, where contradicting given names bar a merge.
 
 Defined cases: null and blank names and names without letters belong to nothing;
 equal names are always one entity; repeated rows of a record count once.
@@ -23,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +97,22 @@ def trigram_weights(units: DataFrame) -> dict[tuple[str, str], float]:
 Vector = dict[str, tuple[float, int]]
 #: a trigram is shared only if its places differ by no more than this
 SHIFT = 2
+#: from this length of the shorter stem on, two mistakes leave a name the same; below, only one does
+LONG = 12
+
+
+def likeness(cos: float, mistakes: int, length: int) -> float:
+    """Weight of a pair of stems from their cosine and the mistakes between them; `length` is the shorter one's.
+
+    One mistake outweighs a low cosine (a short stem has few trigrams left). Two in a
+    short stem count half, so that two misspellings of one name meet in the average with
+    its right spelling but never by themselves; stems further apart are unlike at any cosine.
+    """
+    if mistakes == 0:
+        return 1.0
+    if mistakes == 1:
+        return max(cos, 0.9 if length > 4 else 0.75)
+    return (max(cos, 0.75) if length >= LONG else 0.5) if mistakes == 2 else 0.0
 
 
 def vector(kind: str, stem: str, weights: dict[tuple[str, str], float]) -> Vector:
@@ -109,7 +128,7 @@ def cosine(x: Vector, y: Vector) -> float:
 
 
 PREFIXES = T.StructType([T.StructField("unit", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("place", T.IntegerType())])
-LINKS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("cosine", T.DoubleType())])
+LINKS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("weight", T.DoubleType())])
 
 
 def _parts(unit: str) -> tuple[str, str, str]:
@@ -138,8 +157,8 @@ def _prefixes(shared, threshold: float):
     return run
 
 
-def _verify(shared, threshold: float):
-    """LINKS of the candidate pairs that reach the threshold."""
+def _verify(shared, threshold: float, least: float):
+    """LINKS of the candidate pairs that reach the threshold and weigh at least `least`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = shared.value
@@ -152,48 +171,70 @@ def _verify(shared, threshold: float):
         for batch in batches:
             rows = []
             for a, b in zip(batch["a"], batch["b"]):
-                c = cosine(known(a), known(b))
-                if c >= threshold:
-                    rows.append((a, b, c))
+                x, y = _parts(a)[2], _parts(b)[2]
+                short = min(len(x), len(y))
+                mistakes = edits(x, y, 2 if short >= LONG else 1)
+                if mistakes > 2 or (c := cosine(known(a), known(b))) < threshold:
+                    continue
+                if (w := likeness(c, mistakes, short)) >= least:
+                    rows.append((a, b, w))
             yield pd.DataFrame(rows, columns=LINKS.names)
 
     return run
 
 
-def similar_units(units: DataFrame, shared, threshold: float) -> DataFrame:
-    """LINKS between units (kind, block, stem) of one block whose stems' cosine reaches the threshold, whatever their lengths."""
+def similar_units(units: DataFrame, shared, threshold: float, least: float) -> DataFrame:
+    """LINKS between units (kind, block, stem) of one block whose stems' cosine reaches the threshold and whose weight reaches `least`."""
     distinct = units.where(F.length("stem") > 0).select(F.concat_ws("|", "kind", "block", "stem").alias("unit")).distinct()
     prefixes = settle(distinct.mapInPandas(_prefixes(shared, threshold), PREFIXES))
-    other = prefixes.select(F.col("unit").alias("b"), "feature", F.col("place").alias("there"))
-    pairs = (
-        prefixes.withColumnRenamed("unit", "a")
-        .join(other, "feature")
-        .where((F.col("a") < F.col("b")) & (F.abs(F.col("place") - F.col("there")) <= SHIFT))
-        .select("a", "b")
-        .distinct()
-    )
-    return settle(pairs.mapInPandas(_verify(shared, threshold), LINKS))
+    # units of one block and kind differ in length as their stems do; each mistake moves the rest by one place at most
+    size = F.length("unit")
+    here = prefixes.select(F.col("unit").alias("a"), "feature", "place", size.alias("n"))
+    other = prefixes.select(F.col("unit").alias("b"), "feature", F.col("place").alias("there"), size.alias("m"))
+    apart = F.greatest(F.abs(F.col("place") - F.col("there")), F.abs(F.col("n") - F.col("m")))
+    stem = F.least("n", "m") - F.length(F.substring_index("a", "|", 2)) - 1
+    near = apart <= F.when(stem >= LONG, 2).otherwise(1)
+    pairs = here.join(other, "feature").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return pairs.mapInPandas(_verify(shared, threshold, least), LINKS)
+
+
+def first_letter_links(units: DataFrame, unit: Column) -> DataFrame:
+    """(a, b): units of one person's stem whose given names differ in their first two letters only (lost, added, changed or swapped).
+
+    Such a mistake puts a name into another block. Each group is a star around its smallest unit.
+    """
+    first = F.col("given")[0]
+    swapped = F.concat(F.array_join(F.array_sort(F.split(F.substring(first, 1, 2), "")), ""), F.substring(first, 3, 99))
+    keys = F.array_distinct(F.array(first, F.substring(first, 2, 99), swapped))
+    rows = units.where((F.col("kind") == "person") & (F.length(first) > 3)).select("stem", unit.alias("u"), F.explode(keys).alias("k")).distinct()
+    groups = rows.groupBy("stem", "k").agg(F.sort_array(F.collect_set("u")).alias("us")).where(F.size("us") > 1)
+    return groups.select(F.explode("us").alias("a"), F.col("us")[0].alias("b")).distinct()
 
 
 @lru_cache(maxsize=200_000)
-def _first_agreement(x: str, y: str) -> float:
-    """1 for the same given name (short forms and misspellings included), 0.85 for a fitting initial, below 0 for another name."""
+def _first_agreement(x: str, y: str, common: frozenset[str]) -> float:
+    """1 for the same given name (short forms and misspellings included), 0.85 for a fitting initial, below 0 for another name.
+
+    Two names that are both `common` are no misspellings of each other.
+    """
     if x == y:
         return 1.0
     if len(x) > 1 and len(y) > 1:
+        if x in common and y in common:
+            return 1.0 if given_forms(x) & given_forms(y) else -3.0
         near = any(edits(f, g, 2) <= (1 if min(len(f), len(g)) < 6 else 2) for f in given_forms(x) for g in given_forms(y))
         return 1.0 if near else -3.0
     return 0.85 if {f[0] for f in given_forms(x)} & {f[0] for f in given_forms(y)} else -3.0
 
 
-def given_agreement(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+def given_agreement(a: tuple[str, ...], b: tuple[str, ...], common: frozenset[str] = frozenset()) -> float:
     """How well two lists of given names or initials agree; what only one of them has further does not count."""
     if not a or not b:
         return 0.6
     x, y = "".join(w for w in a if len(w) > 1), "".join(w for w in b if len(w) > 1)
     if min(len(x), len(y)) > 4 and edits(x, y, 1) <= 1:  # a hyphen lost or moved
         return 1.0
-    score = _first_agreement(a[0], b[0])
+    score = _first_agreement(a[0], b[0], common)
     if score < 0 or len(a) == 1 or len(b) == 1:
         return score
     left, right = list(a[1:]), list(b[1:])
@@ -233,7 +274,44 @@ def average_linkage(similarity: np.ndarray, least: float) -> list[int]:
 CLUSTERS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("entity", T.StringType())])
 
 
-def _cluster(shared, least: float):
+def linked_parts(n: int, links: list[tuple[int, int]]) -> list[list[int]]:
+    """Connected parts of 0..n-1."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in links:
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+    parts: dict[int, list[int]] = {}
+    for i in range(n):
+        parts.setdefault(find(i), []).append(i)
+    return list(parts.values())
+
+
+def group_forms(forms: list[tuple], similarity, least: float) -> list[int]:
+    """Group numbers of `forms` by average linkage.
+
+    Groups whose average reaches `least` hold a pair that does, so the linkage runs
+    inside the parts that such pairs connect; no matrix of all forms is held.
+    """
+    links = [(j, i) for i in range(len(forms)) for j in range(i) if similarity(forms[i], forms[j]) >= least]
+    label = [0] * len(forms)
+    for part in linked_parts(len(forms), links):
+        m = np.eye(len(part))
+        for x, i in enumerate(part):
+            for y, j in enumerate(part[:x]):
+                m[x, y] = m[y, x] = similarity(forms[i], forms[j])
+        for i, group in zip(part, average_linkage(m, least) if len(part) > 1 else [0]):
+            label[i] = part[group]
+    return label
+
+
+def _cluster(shared, common: frozenset[str], least: float):
     """CLUSTERS from rows (component, kind, name, stem, given) sorted by component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,17 +323,17 @@ def _cluster(shared, least: float):
             for name, stem, given in zip(d["name"], d["stem"], d["given"]):
                 names.setdefault(name, (stem, tuple(given)))
             forms = sorted(set(names.values()))
-            if len(forms) == 1:
-                label = [0]
-            else:
-                m = np.eye(len(forms))
-                vectors = [vector(kind, stem, weights) for stem, _ in forms]
-                for i, (si, gi) in enumerate(forms):
-                    for j in range(i):
-                        sj, gj = forms[j]
-                        stem = 1.0 if si == sj else max(cosine(vectors[i], vectors[j]), 1 - edits(si, sj, 3) / min(len(si), len(sj)))
-                        m[i, j] = m[j, i] = stem * (given_agreement(gi, gj) if kind == "person" else 1.0)
-                label = average_linkage(m, least)
+            vectors = {stem: vector(kind, stem, weights) for stem, _ in forms}
+
+            @lru_cache(maxsize=100_000)
+            def stems(x: str, y: str) -> float:
+                return 1.0 if x == y else likeness(cosine(vectors[x], vectors[y]), edits(x, y, 2), min(len(x), len(y)))
+
+            def alike(x: tuple, y: tuple) -> float:
+                s = stems(x[0], y[0])
+                return s * given_agreement(x[1], y[1], common) if s and kind == "person" else s
+
+            label = group_forms(forms, alike, least)
             entity = {form: f"{component}#{group}" for form, group in zip(forms, label)}
             out += [(kind, name, entity[form]) for name, form in names.items()]
             if len(out) > 5000:
@@ -266,7 +344,7 @@ def _cluster(shared, least: float):
     return run
 
 
-def group_variants(records: DataFrame, threshold: float = 0.40, least: float = 0.55) -> DataFrame:
+def group_variants(records: DataFrame, threshold: float = 0.30, least: float = 0.55) -> DataFrame:
     """(rec, entity) of every readable record of `records` (rec, kind, name); kind is person or organisation."""
     rows = records.where(F.col("rec").isNotNull() & (F.length(F.trim("name")) > 0)).select("rec", "kind", "name").distinct()
     names = rows.select("kind", "name").distinct()
@@ -274,12 +352,12 @@ def group_variants(records: DataFrame, threshold: float = 0.40, least: float = 0
     units = settle(names.mapInPandas(_read(given), UNITS))
     unit = F.concat_ws("|", "kind", "block", "stem")
     shared = units.sparkSession.sparkContext.broadcast(trigram_weights(units))
-    links = similar_units(units, shared, threshold)
+    links = similar_units(units, shared, threshold, least).select("a", "b").union(first_letter_links(units, unit))
     # units of one name (a nickname's blocks) belong together, and every unit is there at least alone
     own = units.groupBy("kind", "name").agg(F.sort_array(F.collect_set(unit)).alias("u")).select(F.explode("u").alias("a"), F.col("u")[0].alias("b"))
-    components = connected_components(links.select("a", "b").union(own), "a", "b")
+    components = connected_components(links.union(own), "a", "b")
     placed = units.withColumn("unit", unit).join(components, F.col("unit") == F.col("node")).select("component", "kind", "name", "stem", "given")
-    clusters = placed.repartition("component").sortWithinPartitions("component", "name").mapInPandas(_cluster(shared, least), CLUSTERS)
+    clusters = placed.repartition("component").sortWithinPartitions("component", "name").mapInPandas(_cluster(shared, given, least), CLUSTERS)
     return rows.join(clusters, ["kind", "name"]).select("rec", "entity")
 
 
