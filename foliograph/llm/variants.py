@@ -99,20 +99,27 @@ Vector = dict[str, tuple[float, int]]
 SHIFT = 2
 #: from this length of the shorter stem on, two mistakes leave a name the same; below, only one does
 LONG = 12
+#: a stem of at least this length may be the other one broken off
+STUMP = 7
 
 
-def likeness(cos: float, mistakes: int, length: int) -> float:
-    """Weight of a pair of stems from their cosine and the mistakes between them; `length` is the shorter one's.
+def likeness(x: str, y: str, cos: float) -> float:
+    """Weight of two stems from their cosine and the mistakes of typing between them.
 
     One mistake outweighs a low cosine (a short stem has few trigrams left). Two in a
     short stem count half, so that two misspellings of one name meet in the average with
-    its right spelling but never by themselves; stems further apart are unlike at any cosine.
+    its right spelling but never by themselves. A stem that breaks off is like the whole
+    one; others further apart are unlike at any cosine.
     """
+    short = min(len(x), len(y))
+    mistakes = edits(x, y, 2)
     if mistakes == 0:
         return 1.0
     if mistakes == 1:
-        return max(cos, 0.9 if length > 4 else 0.75)
-    return (max(cos, 0.75) if length >= LONG else 0.5) if mistakes == 2 else 0.0
+        return max(cos, 0.9 if short > 4 else 0.75)
+    if short >= STUMP and (x.startswith(y) or y.startswith(x)):
+        return max(cos, 0.75)
+    return (max(cos, 0.75) if short >= LONG else 0.5) if mistakes == 2 else 0.0
 
 
 def vector(kind: str, stem: str, weights: dict[tuple[str, str], float]) -> Vector:
@@ -171,29 +178,26 @@ def _verify(shared, threshold: float, least: float):
         for batch in batches:
             rows = []
             for a, b in zip(batch["a"], batch["b"]):
-                x, y = _parts(a)[2], _parts(b)[2]
-                short = min(len(x), len(y))
-                mistakes = edits(x, y, 2 if short >= LONG else 1)
-                if mistakes > 2 or (c := cosine(known(a), known(b))) < threshold:
-                    continue
-                if (w := likeness(c, mistakes, short)) >= least:
+                c = cosine(known(a), known(b))
+                if c >= threshold and (w := likeness(_parts(a)[2], _parts(b)[2], c)) >= least:
                     rows.append((a, b, w))
             yield pd.DataFrame(rows, columns=LINKS.names)
 
     return run
 
 
-def similar_units(units: DataFrame, shared, threshold: float, least: float) -> DataFrame:
+def similar_units(units: DataFrame, shared, threshold: float, least: float = 0.55) -> DataFrame:
     """LINKS between units (kind, block, stem) of one block whose stems' cosine reaches the threshold and whose weight reaches `least`."""
     distinct = units.where(F.length("stem") > 0).select(F.concat_ws("|", "kind", "block", "stem").alias("unit")).distinct()
     prefixes = settle(distinct.mapInPandas(_prefixes(shared, threshold), PREFIXES))
-    # units of one block and kind differ in length as their stems do; each mistake moves the rest by one place at most
-    size = F.length("unit")
-    here = prefixes.select(F.col("unit").alias("a"), "feature", "place", size.alias("n"))
-    other = prefixes.select(F.col("unit").alias("b"), "feature", F.col("place").alias("there"), size.alias("m"))
-    apart = F.greatest(F.abs(F.col("place") - F.col("there")), F.abs(F.col("n") - F.col("m")))
-    stem = F.least("n", "m") - F.length(F.substring_index("a", "|", 2)) - 1
-    near = apart <= F.when(stem >= LONG, 2).otherwise(1)
+    # what the weight keeps: each mistake changes the length and moves the rest by one place at most; a stump is a beginning
+    stem = F.substring_index("unit", "|", -1)
+    here = prefixes.select(F.col("unit").alias("a"), "feature", "place", stem.alias("x"))
+    other = prefixes.select(F.col("unit").alias("b"), "feature", F.col("place").alias("there"), stem.alias("y"))
+    n, m = F.length("x"), F.length("y")
+    apart = F.greatest(F.abs(F.col("place") - F.col("there")), F.abs(n - m))
+    broken = (F.least(n, m) >= STUMP) & (F.col("x").startswith(F.col("y")) | F.col("y").startswith(F.col("x")))
+    near = (apart <= F.when(F.least(n, m) >= LONG, 2).otherwise(1)) | broken
     pairs = here.join(other, "feature").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     return pairs.mapInPandas(_verify(shared, threshold, least), LINKS)
 
@@ -327,7 +331,7 @@ def _cluster(shared, common: frozenset[str], least: float):
 
             @lru_cache(maxsize=100_000)
             def stems(x: str, y: str) -> float:
-                return 1.0 if x == y else likeness(cosine(vectors[x], vectors[y]), edits(x, y, 2), min(len(x), len(y)))
+                return 1.0 if x == y else likeness(x, y, cosine(vectors[x], vectors[y]))
 
             def alike(x: tuple, y: tuple) -> float:
                 s = stems(x[0], y[0])
