@@ -197,9 +197,12 @@ def similar_units(units: DataFrame, shared, threshold: float, least: float = 0.5
     n, m = F.length("x"), F.length("y")
     apart = F.greatest(F.abs(F.col("place") - F.col("there")), F.abs(n - m))
     broken = (F.least(n, m) >= STUMP) & (F.col("x").startswith(F.col("y")) | F.col("y").startswith(F.col("x")))
-    near = (apart <= F.when(F.least(n, m) >= LONG, 2).otherwise(1)) | broken
+    long = F.least(n, m) >= LONG
+    # a swap of neighbours is one mistake and two edits
+    close = F.when(long, (apart <= 2) & (F.levenshtein("x", "y", 4) >= 0)).otherwise((apart <= 1) & (F.levenshtein("x", "y", 2) >= 0))
+    near = close | broken
     pairs = here.join(other, "feature").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    return pairs.mapInPandas(_verify(shared, threshold, least), LINKS)
+    return settle(pairs.mapInPandas(_verify(shared, threshold, least), LINKS))
 
 
 def first_letter_links(units: DataFrame, unit: Column) -> DataFrame:
