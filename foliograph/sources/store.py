@@ -41,6 +41,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
+def drop(settled: DataFrame) -> None:
+    """Removes a settled table that nothing reads any more; no error if it is not one."""
+    spark = settled.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in settled.inputFiles()}:
+        if "/foliograph-" in file:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_bound(df: DataFrame) -> int:
     """Rows of a scanned table; Spark answers this from the Parquet footers."""
     return df.count()
