@@ -40,6 +40,7 @@ from foliograph.sources.store import settle
 HYPHENS = "-‐‑¬­–"
 _PAGE = re.compile(r"(?:[-–—]\s*\d{1,4}\s*[-–—]|(?:p|pp|page|pg)\.?\s*\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?|\d{1,4}\s*/\s*\d{1,4}|\d{1,4}|[ivxl]{1,6})", re.IGNORECASE)
 _PAGE_AT = re.compile(rf"^(?:(?P<a>{_PAGE.pattern})(?:\s{{2,}}|$)(?P<rest>.*)|(?P<rest2>.*?\S)\s{{2,}}(?P<b>{_PAGE.pattern}))$", re.IGNORECASE)
+_GAP = re.compile(r"\s\s")
 _EDGE = ".,;:?()[]{}\"'“”‘’…|/·•&，。；：、（）"
 #: fixed values: confusions known from character recognition at large, counted as if the samples showed them
 KNOWN_CONFUSIONS = [
@@ -54,6 +55,8 @@ _ETAL = re.compile(r"\bet\.? al\.?$", re.IGNORECASE)
 def page_part(line: str) -> tuple[str, str]:
     """(page number, rest) of a line; either may be empty."""
     line = line.strip()
+    if len(line) > 24 and not _GAP.search(line):  # a number with text beside it stands behind a gap
+        return "", line
     m = _PAGE_AT.match(line)
     if not m:
         return "", line
@@ -71,7 +74,7 @@ def _flat(text: str) -> str:
 def header_of_paper(line: str, title: str | None, venues: frozenset[str]) -> bool:
     """A line that repeats the beginning of the paper's title, alone or after an author, or names a venue."""
     flat = _flat(line)
-    if not flat or len(line) > 90:
+    if not flat:
         return False
     if flat in venues:
         return True
@@ -273,9 +276,7 @@ def _text_lines(text: str, title: str | None, venues: frozenset[str], models: Mo
     feats: dict[int, list[float]] = {}
     for k, i in enumerate(filled):
         line = raw[i].strip()
-        if len(line) >= 90:
-            continue
-        page, rest = page_part(line) if len(line) < 60 else ("", line)
+        page, rest = page_part(line)
         etal = _ETAL.search(rest)
         head = _head(rest.split(None, 1)[0]) if rest else ""
         if rest and (head == title_head or head in heads or _INITIALS.match(rest)) and header_of_paper(rest, title, venues):
