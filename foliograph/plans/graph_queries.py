@@ -403,14 +403,44 @@ def all_char_ngram_counts(spark: SparkSession, root: str) -> DataFrame:
     return ngram_counts(titles, "paper_id", "title")
 
 
-@query()
+_GRAMS = """, {0}_src AS (SELECT key, t AS s FROM {0} WHERE t <> '' UNION ALL SELECT key, replace(t, ' ', '') FROM {0} WHERE t <> ''),
+{0}_grams AS (SELECT key, gram, count(*) AS n FROM (
+  SELECT key, substr(s, CAST(i AS INT), k) AS gram FROM (SELECT key, s, k, unnest(range(1, length(s) - k + 2)) AS i FROM {0}_src, (VALUES (2), (3), (4), (5)) v(k)) x
+  UNION ALL SELECT key, s FROM {0}_src WHERE length(s) = 1) y GROUP BY 1, 2)"""
+_TFIDF = (
+    """WITH docs AS (SELECT DISTINCT paper_id AS key, trim(regexp_replace(lower(concat_ws(' ', title, abstract)), '\\s+', ' ', 'g')) AS t FROM papers WHERE paper_id IS NOT NULL),
+asked AS (SELECT DISTINCT query_id AS key, trim(regexp_replace(lower(query), '\\s+', ' ', 'g')) AS t FROM query_cases WHERE query IS NOT NULL)"""
+    + _GRAMS.format("docs")
+    + _GRAMS.format("asked")
+    + """, total AS (SELECT count(DISTINCT key) + 1.0::DOUBLE AS n FROM docs),
+df AS (SELECT gram, count(*) AS df FROM docs_grams GROUP BY 1),
+norms AS (SELECT key, sum((d.n * (ln((1 + t.n) / (1 + df)) + 1)) ** 2) AS norm0 FROM docs_grams d JOIN df USING (gram), total t GROUP BY 1),
+w AS (SELECT a.key AS query, a.gram, a.n AS c, ln((1 + t.n) / (2 + coalesce(df, 0))) + 1 AS i, ln((1 + t.n) / (1 + coalesce(df, 0))) + 1 AS i0 FROM asked_grams a LEFT JOIN df USING (gram), total t),
+qn AS (SELECT query, sum((c * i) ** 2) AS qnorm FROM w GROUP BY 1),
+dots AS (SELECT query, key, sum(n * c * i * i) AS dot, sum(n * n * (i * i - i0 * i0)) AS delta FROM docs_grams JOIN w USING (gram) GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM (
+  SELECT query, key, round(dot / sqrt((norm0 + delta) * qnorm), 6) AS score FROM dots JOIN norms USING (key) JOIN qn USING (query)) x)
+"""
+)
+
+
+@query(_TFIDF + "SELECT * FROM ranked WHERE place <= 10")
 def tfidf_topk(spark: SparkSession, root: str) -> DataFrame:
-    """The ten papers nearest to each query by n-gram TF-IDF of title and abstract (tested against plain Python)."""
+    """The ten papers nearest to each query by n-gram TF-IDF of title and abstract."""
     papers = table(spark, root, "papers").select("paper_id", F.concat_ws(" ", "title", "abstract").alias("text"))
     return rank_documents(papers, table(spark, root, "query_cases"), key="paper_id", text="text", query_key="query_id", query_text="query", k=10)
 
 
-@query()
+_BEST = """b AS (SELECT query_id, paper_id, max(section_direct_score) AS s FROM retrieval_scores WHERE section_direct_score IS NOT NULL AND NOT isnan(section_direct_score) GROUP BY 1, 2),
+lb AS (SELECT * FROM (SELECT query_id, paper_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, paper_id) AS pr FROM b) x WHERE pr <= 20),
+la AS (SELECT query AS query_id, key AS paper_id, place AS pl FROM ranked WHERE place <= 10),
+f AS (SELECT coalesce(la.query_id, lb.query_id) AS query_id, coalesce(la.paper_id, lb.paper_id) AS paper_id, pl, pr,
+  round(coalesce((1 - 0.3) * 61 / (60 + pl), 0) + coalesce(0.3 * 61 / (60 + pr), 0), 4) AS score
+  FROM la FULL JOIN lb ON la.query_id = lb.query_id AND la.paper_id = lb.paper_id)
+SELECT query_id, paper_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pl NULLS LAST, pr NULLS LAST, paper_id) AS place FROM f) x WHERE place <= 10"""
+
+
+@query(_TFIDF + ", " + _BEST)
 def flagship(spark: SparkSession, root: str) -> DataFrame:
     """TF-IDF ranking of papers fused with the retrieval scores of their sections."""
     lexical = tfidf_topk(spark, root).select(F.col("query").alias("query_id"), F.col("key").alias("paper_id"), "place")
