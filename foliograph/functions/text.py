@@ -61,8 +61,8 @@ def compact_text(c: str | Column) -> Column:
 
 
 def strip_accents(c: str | Column) -> Column:
-    """Latin letters without their marks, by a table made from the decompositions of U+00C0 to U+024F."""
-    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))[0]) for i in range(0xC0, 0x250)]
+    """Latin letters without their marks, by a table made from the decompositions of U+00C0 to U+024F and U+1E00 to U+1EFF."""
+    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))[0]) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
     pairs = [(a, b) for a, b in pairs if a != b and b.isascii() and b.isalpha()]
     return F.translate(_col(c), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
@@ -156,3 +156,84 @@ def reference_label(c: str | Column) -> Column:
     label = F.lower(F.regexp_extract(_col(c), r"(?i)^\s*((?:figure|fig\.?|table|tab\.?|chart)\s*\.?\s*\d+[A-Za-z]?)\b", 1))
     label = normalize_spaces(F.regexp_replace(label, r"\.", " "))
     return F.regexp_replace(F.regexp_replace(label, "^(?:fig|chart) ", "figure "), "^tab ", "table ")
+
+
+def query_compact(c: str | Column) -> Column:
+    """Lower case with letters a-z, digits and CJK ideographs only; white space is not normalised first."""
+    return F.regexp_replace(F.lower(F.coalesce(_col(c), F.lit(""))), "[^a-z0-9一-鿿]+", "")
+
+
+def resolution_text(c: str | Column) -> Column:
+    """Accent-free lower case, everything else as single blanks."""
+    return F.trim(F.regexp_replace(F.lower(strip_accents(normalize_text(c))), "[^a-z0-9]+", " "))
+
+
+def compact_alias(c: str | Column) -> Column:
+    """Accent-free lower case letters and digits only."""
+    return F.regexp_replace(F.lower(strip_accents(normalize_text(c))), "[^a-z0-9]+", "")
+
+
+def person_form(c: str | Column) -> Column:
+    """Accent-free lower case words of a name; hyphens stay."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(strip_accents(normalize_text(c))), r"[^a-z0-9\s-]", " "), r"\s+", " "))
+
+
+def author_key(c: str | Column) -> Column:
+    """Key of an author by the words of the name."""
+    return entity_key(person_form(c))
+
+
+def first_author(c: str | Column) -> Column:
+    """First word of an author text, or its last one if the first is a lone letter; empty without letters."""
+    words = F.regexp_extract_all(F.lower(strip_accents(F.coalesce(_col(c), F.lit("")))), F.lit("([a-z]+)"), 1)
+    return F.when(F.size(words) == 0, "").when((F.length(words[0]) == 1) & (F.size(words) > 1), F.element_at(words, -1)).otherwise(words[0])
+
+
+def letter_runs(c: str | Column) -> Column:
+    """Number of runs of letters of any script."""
+    return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(r"[\p{L}]+")).cast("bigint")
+
+
+def alpha_tokens(c: str | Column) -> Column:
+    """Number of tokens between white space that hold a Latin letter."""
+    return F.size(F.filter(F.split(normalize_text(F.coalesce(_col(c), F.lit(""))), r"\s+"), lambda w: w.rlike("[A-Za-z]"))).cast("bigint")
+
+
+def trim_to(c: str | Column, size: int) -> Column:
+    """At most `size` characters of collapsed text; what is cut ends in one ellipsis sign."""
+    text = normalize_spaces(F.coalesce(_col(c), F.lit("")))
+    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, size - 1)), F.lit("…")))
+
+
+def join_unique(*parts: str | Column) -> Column:
+    """Normalised parts, each once in their order, one to a line; null and empty parts are left out."""
+    texts = F.array(*[normalize_text(p) for p in parts])
+    return F.array_join(F.array_distinct(F.filter(texts, lambda t: t.isNotNull() & (t != ""))), "\n")
+
+
+def distinct_in_order(c: str | Column) -> Column:
+    """Elements of an array, each once, where it stands first."""
+    return F.array_distinct(_col(c))
+
+
+def word_set(c: str | Column) -> Column:
+    """Distinct words of a-z and digits of at least two characters, of the lookup form."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(lookup_text(c), F.lit("([a-z0-9]+)"), 1), lambda w: F.length(w) >= 2))
+
+
+def whole_number(c: str | Column) -> Column:
+    """The integer that a text holds, null if it holds none."""
+    return _col(c).try_cast("int")
+
+
+def box(c: str | Column) -> Column:
+    """A bounding box of exactly four numbers, else null."""
+    b = _col(c)
+    return F.when((F.size(b) == 4) & ~F.exists(b, lambda x: x.isNull() | F.isnan(x)), b)
+
+
+def page_label(first: str | Column, last: str | Column) -> Column:
+    """Zero-based pages as a one-based label: p.1, p.6-7, or empty."""
+    a, b = _col(first) + 1, _col(last) + 1
+    one = F.concat(F.lit("p."), F.coalesce(a, b).cast("string"))
+    return F.when(a.isNull() & b.isNull(), "").when(a.isNull() | b.isNull() | (a == b), one).otherwise(F.concat(one, F.lit("-"), b.cast("string")))
