@@ -70,21 +70,6 @@ def parsed_citations(spark: SparkSession, root: str) -> DataFrame:
     return bib.parse(bib.entries(_bibliography(spark, root), "block_id", "text").where(bib.is_citation(F.col("entry"))), "entry")
 
 
-@query()
-def merged_references(spark: SparkSession, root: str) -> DataFrame:
-    """References of one work under one cluster."""
-    first = F.lower(F.regexp_extract(F.coalesce("authors", F.lit("")), r"([\p{L}'-]{4,})", 1))
-    refs = _references(spark, root).where(F.col("title").isNotNull()).select("node_id", "title", tx.year_text(F.coalesce("year", F.lit(""))).alias("year"), first.alias("author"))
-    return bib.merge_references(refs)
-
-
-@query()
-def resolved_references(spark: SparkSession, root: str) -> DataFrame:
-    """References resolved to papers by titles with a margin."""
-    refs = _references(spark, root).select("node_id", "title", tx.year_text(F.coalesce("year", F.lit(""))).alias("year"))
-    return bib.resolve(refs, table(spark, root, "papers").select("paper_id", "title", "year").distinct())
-
-
 @query()
 def chunks(spark: SparkSession, root: str) -> DataFrame:
     """Chunks of every paper under their section paths."""
