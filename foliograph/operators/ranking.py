@@ -26,18 +26,39 @@ def best_plus_tail(df: DataFrame, group: list[str], score: str, key: str, share:
     return best.groupBy(*group).agg(F.round(F.max(score) + share * F.coalesce(tail, F.lit(0.0)), 6).alias("total"))
 
 
-def fuse(left: DataFrame, right: DataFrame, *, group: str, key: str, weight: float, k: int, rrf_k: int = 60) -> DataFrame:
+def fuse(left: DataFrame, right: DataFrame, *, group: str | list[str], key: str, weight: float, k: int, rrf_k: int = 60, allowed: DataFrame | None = None) -> DataFrame:
     """Weighted reciprocal-rank fusion of two rankings (group, key, place).
 
-    A place counts w * (rrf_k + 1) / (rrf_k + place), an absent side nothing. Ties: place on
+    A place counts w * (rrf_k + 1) / (rrf_k + place), an absent side nothing; a side of
+    weight 0 is left out. With `allowed` (group, key) only those keys stay. Ties: place on
     the left, then on the right (absent last), then the key.
     """
-    a = left.select(group, key, F.col("place").alias("pl"))
-    b = right.select(group, key, F.col("place").alias("pr"))
+    if not 0 <= weight <= 1:
+        raise ValueError("the weight must lie between 0 and 1")
+    groups = [group] if isinstance(group, str) else group
+    a = left.select(*groups, key, F.col("place").alias("pl")).where(F.lit(weight < 1))
+    b = right.select(*groups, key, F.col("place").alias("pr")).where(F.lit(weight > 0))
     part = lambda p, w: F.coalesce(F.lit(w * (rrf_k + 1)) / (rrf_k + F.col(p)), F.lit(0.0))
-    both = a.join(b, [group, key], "full_outer").withColumn("score", F.round(part("pl", 1 - weight) + part("pr", weight), 4))
+    both = a.join(b, [*groups, key], "full_outer")
+    if allowed is not None:
+        both = both.join(allowed.select(*groups, key).distinct(), [*groups, key], "left_semi")
+    both = both.withColumn("score", F.round(part("pl", 1 - weight) + part("pr", weight), 4))
     order = [F.desc("score"), F.col("pl").asc_nulls_last(), F.col("pr").asc_nulls_last(), F.col(key)]
-    return top_k(both, [group], order, k).select(group, key, "score", "place")
+    return top_k(both, groups, order, k).select(*groups, key, "score", "place")
+
+
+def hybrid(papers: tuple[DataFrame, DataFrame], sections: tuple[DataFrame, DataFrame], *, weight: float, k: int, k_sections: int, pool: int = 20) -> DataFrame:
+    """(query, paper, paper_score, paper_place, section, score, place): papers of two rankings fused, then the sections of each chosen paper.
+
+    papers: rankings (query, paper, place); sections: (query, paper, section, place), places
+    counted inside a paper. The pool is max(k, pool) papers and three times as many
+    sections as asked for from each side.
+    """
+    near = [p.where(F.col("place") <= max(k, pool)) for p in papers]
+    chosen = fuse(*near, group="query", key="paper", weight=weight, k=k).select("query", "paper", F.col("score").alias("paper_score"), F.col("place").alias("paper_place"))
+    held = [s.join(chosen.select("query", "paper"), ["query", "paper"], "left_semi").where(F.col("place") <= 3 * k_sections) for s in sections]
+    inner = fuse(*held, group=["query", "paper"], key="section", weight=weight, k=k_sections)
+    return chosen.join(inner, ["query", "paper"])
 
 
 def cosine_ranking(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int) -> DataFrame:
