@@ -134,3 +134,35 @@ def neighbours(rows: DataFrame, group: str, order: str, key: str) -> DataFrame:
     """(group, source, target) of each row and the next one of its group."""
     w = W.partitionBy(group).orderBy(order, key)
     return rows.withColumn("next", F.lead(key).over(w)).where(F.col("next").isNotNull()).select(group, F.col(key).alias("source"), F.col("next").alias("target"))
+
+
+def gated_messages(weighted: DataFrame, features: DataFrame, gates: DataFrame, matrices: DataFrame) -> DataFrame:
+    """(node, dim, value): the sum over a node's edges of weight times gate times the relation's matrix times the source's features.
+
+    weighted: source_id, target_id, relation, weight; features: node, dim, value; gates:
+    relation, dim, gate; matrices: relation, i (to), j (from), w. Gates and matrices are
+    parameters, a few rows per relation. Sources are transformed once per relation, and
+    messages are summed before the shuffle, so a hot target is no single task.
+    """
+    used = weighted.select("source_id", "relation").distinct()
+    turned = (
+        used.join(features.select(F.col("node").alias("source_id"), F.col("dim").alias("j"), "value"), "source_id")
+        .join(matrices, ["relation", "j"])
+        .groupBy("source_id", "relation", F.col("i").alias("dim"))
+        .agg(F.sum(F.col("value") * F.col("w")).alias("h"))
+    )
+    sent = weighted.join(turned, ["source_id", "relation"]).join(gates, ["relation", "dim"])
+    return sent.groupBy(F.col("target_id").alias("node"), "dim").agg(F.sum(F.col("weight") * F.col("gate") * F.col("h")).alias("value"))
+
+
+def unit_rows(vectors: DataFrame) -> DataFrame:
+    """(node, dim, value) with each node's vector at length 1; vectors of length 0 stay."""
+    norms = vectors.groupBy("node").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_n"))
+    return vectors.join(norms, "node").select("node", "dim", (F.col("value") / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).alias("value"))
+
+
+def residual(features: DataFrame, delta: DataFrame, scale: float = 0.25) -> DataFrame:
+    """(node, dim, value): features plus `scale` times the delta at length 1, brought to length 1 again."""
+    both = features.unionByName(unit_rows(delta).select("node", "dim", (F.col("value") * scale).alias("value")))
+    known = both.groupBy("node", "dim").agg(F.sum("value").alias("value")).join(features.select("node").distinct(), "node", "left_semi")
+    return unit_rows(known)

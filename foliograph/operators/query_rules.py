@@ -122,7 +122,7 @@ def fuzzy_weight(kind: Column, hints: Column) -> Column:
     return F.when(of(STRUCTURED), off).when(of(SEMANTIC), near).otherwise(F.when(reference, FUZZY["reference"]).otherwise(1.0))
 
 
-def _in_blocks(asked: DataFrame, key: str, f) -> DataFrame:
+def in_blocks(asked: DataFrame, key: str, f) -> DataFrame:
     """f(block) over blocks of at most about BLOCK stated queries, united."""
     n = max(1, -(-row_bound(asked.select(key).distinct()) // BLOCK))
     out: DataFrame | None = None
@@ -145,7 +145,7 @@ def title_bonus(asked: DataFrame, papers: DataFrame) -> DataFrame:
     inside = (F.length("xc") >= 10) & (F.col("t").contains(F.col("x")) | F.col("x").contains(F.col("t")) | F.col("tc").contains(F.col("xc")) | F.col("xc").contains(F.col("tc")))
     bonus = F.when((F.col("p") == F.col("x")) | (F.col("pc") == F.col("xc")), PREFIX_TITLE).when((F.col("t") == F.col("x")) | (F.col("tc") == F.col("xc")), WHOLE_TITLE).when(inside, PART_TITLE)
     titles = _titles(papers)
-    hits = _in_blocks(targets, "query", lambda block: titles.join(block, bonus.isNotNull()).select("query", "paper", bonus.alias("b")))
+    hits = in_blocks(targets, "query", lambda block: titles.join(block, bonus.isNotNull()).select("query", "paper", bonus.alias("b")))
     return hits.groupBy("query", "paper").agg((F.max("b") + TITLE_AGAIN).alias("delta"))
 
 
@@ -162,12 +162,12 @@ def handle_bonus(asked: DataFrame, papers: DataFrame, figures: DataFrame) -> Dat
     prefix = (F.col("p") == F.col("x")) | (F.col("pc") == F.col("xc"))
     bonus = F.when(prefix, PREFIX_HANDLE).when((F.col("t") == F.col("x")) | (F.col("tc") == F.col("xc")), WHOLE_HANDLE).when(F.col("t").contains(F.col("x")) | F.col("tc").contains(F.col("xc")), PART_HANDLE)
     titles = _titles(papers)
-    hits = _in_blocks(variants, "query", lambda block: titles.join(block, bonus.isNotNull()).select("query", "paper", "xc", bonus.alias("b"), prefix.alias("first")))
+    hits = in_blocks(variants, "query", lambda block: titles.join(block, bonus.isNotNull()).select("query", "paper", "xc", bonus.alias("b"), prefix.alias("first")))
     # a handle that begins one title only means that paper
     alone = hits.where("first").groupBy("query", "xc").agg(F.count("*").alias("n"), F.max("paper").alias("paper")).where(F.col("n") == 1).select("query", "paper", F.lit(ONLY_HANDLE).alias("b"))
     texts = figures.where(F.length("text") > 0).select("paper", tx.lookup_text("text").alias("t"), tx.compact_text("text").alias("tc"))
     seen = F.col("t").contains(F.col("x")) | F.col("tc").contains(F.col("xc"))
-    shown = _in_blocks(variants, "query", lambda block: texts.join(block, seen).select("query", "paper", F.lit(FIGURE_HANDLE).alias("b")))
+    shown = in_blocks(variants, "query", lambda block: texts.join(block, seen).select("query", "paper", F.lit(FIGURE_HANDLE).alias("b")))
     return hits.select("query", "paper", "b").unionByName(alone).unionByName(shown).groupBy("query", "paper").agg(F.max("b").alias("delta"))
 
 

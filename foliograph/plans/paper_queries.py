@@ -217,17 +217,6 @@ def _queries(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("kinds", F.array_distinct(F.flatten(F.array(*wanted))))
 
 
-@query()
-def figure_ranking(spark: SparkSession, root: str) -> DataFrame:
-    """The five figures nearest to each query by text, caption and label."""
-    rows = table(spark, root, "nodes").where(F.col("node_type") == "figure").select("node_id", "caption", "section_title").distinct()
-    text = F.array_join("caption", " ")
-    figures = rows.select(
-        F.col("node_id").alias("figure"), F.element_at(F.split("node_id", ":"), 3).alias("kind"), F.concat_ws(" ", "section_title", text).alias("body"), text.alias("caption"), tx.reference_label(text).alias("label")
-    )
-    return evidence.rank_figures(figures, _queries(spark, root), 5)
-
-
 @query()
 def section_ranking(spark: SparkSession, root: str) -> DataFrame:
     """The sections of each paper for a query, at most three, of different roles first."""

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliograph.functions import text as tx
-from foliograph.operators import bundle, metadata
+from foliograph.operators import bundle, evidence, metadata
 from foliograph.operators import query_rules as qr
 from foliograph.operators import ranking as rk
 from foliograph.operators.graph import all_constraints
+from foliograph.operators.paper_rank import finish, phase_one, rank_papers
+from foliograph.operators.tfidf import score_documents
+from foliograph.plans.citation_queries import cross_edges
 from foliograph.plans.paper_queries import TYPE_HINTS
 from foliograph.plans.registry import registry
-from foliograph.sources.store import table
+from foliograph.sources.store import settle, table
 
 QUERIES, ORACLE_SQL, query = registry()
 EVERY = 20
@@ -353,3 +356,209 @@ def _hybrid(spark: SparkSession, root: str) -> DataFrame:
         papers.append(rk.top_k(r.groupBy("query", "paper").agg(F.max("s").alias("s")), ["query"], [F.desc("s"), F.col("paper")], 20).select("query", "paper", "place"))
         sections.append(rk.top_k(r, ["query", "paper"], [F.desc("s"), F.col("section")], 6).select("query", "paper", "section", "place"))
     return rk.hybrid(tuple(papers), tuple(sections), weight=0.3, k=5, k_sections=2)
+
+
+def _figure_rows(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "nodes").where(F.col("node_type") == "figure").select("node_id", "caption", "section_title").distinct()
+    text = F.array_join("caption", " ")
+    return rows.select(
+        F.col("node_id").alias("figure"), F.try_element_at(F.split("node_id", ":"), F.lit(3)).alias("kind"), F.concat_ws(" ", "section_title", text).alias("body"), text.alias("caption"), tx.reference_label(text).alias("label")
+    )
+
+
+#: fixed values: kinds of assets that words of a query point to
+KINDS = {
+    "table": ["table"], "plot": ["chart", "image"], "chart": ["chart", "image"], "graph": ["chart", "image"], "curve": ["chart", "image"], "heatmap": ["chart", "image"],
+    "scatter": ["chart", "image"], "tsne": ["chart", "image"], "t-sne": ["chart", "image"], "pipeline": ["image", "chart"], "diagram": ["image", "chart"],
+    "schematic": ["image", "chart"], "illustration": ["image", "chart"], "figure": ["image", "chart"],
+}
+
+
+def _cases(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "query_cases").where(F.col("query").isNotNull()).select(F.col("query_id").alias("query"), F.col("query").alias("wording")).distinct()
+    none = F.array().cast("array<string>")
+    wanted = [F.when(F.lower("wording").contains(w), F.array(*[F.lit(k) for k in ks])).otherwise(none) for w, ks in KINDS.items()]
+    return rows.withColumn("kinds", F.array_distinct(F.flatten(F.array(*wanted))))
+
+
+@query()
+def figure_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """The five figures nearest to each query by text, caption, label, kind and shared words (tested against plain Python)."""
+    return evidence.rank_figures(_figure_rows(spark, root), _cases(spark, root), 5)
+
+
+@query()
+def figure_support(spark: SparkSession, root: str) -> DataFrame:
+    """What papers gain by the figures nearest to each query."""
+    ranked = evidence.rank_figures(_figure_rows(spark, root), _cases(spark, root), 20)
+    paper = F.concat(F.lit("paper:"), F.try_element_at(F.split("figure", ":"), F.lit(2)))
+    return qr.figure_support(ranked.select("query", paper.alias("paper"), "score", F.col("caption_score").alias("caption"), F.col("label_score").alias("label"), "place"))
+
+
+@query()
+def local_figures(spark: SparkSession, root: str) -> DataFrame:
+    """The figures of the papers that a query finds first, each paper a corpus of its own (tested against plain Python)."""
+    best = rk.top_k(_hits(spark, root).groupBy("query", "paper").agg(F.max("score").alias("s")), ["query"], [F.desc("s"), F.col("paper")], 3)
+    pairs = best.join(_cases(spark, root), "query").select("query", F.col("paper").alias("part"), "wording")
+    rows = table(spark, root, "nodes").where((F.col("node_type") == "figure") & (F.size("caption") > 0))
+    records = rows.select(F.col("paper_id").alias("part"), F.col("node_id").alias("record"), F.array_join("caption", " ").alias("text")).distinct()
+    return evidence.local_ranking(pairs, records, 2)
+
+
+def _fuzzy(spark: SparkSession, root: str, cases: DataFrame, k: int = 5) -> DataFrame:
+    """(query, entity, kind, score): the k best fuzzily matched entities of each query by n-gram similarity times the weight of their type."""
+    names = table(spark, root, "nodes").where(F.col("canonical_name").isNotNull()).select(F.col("node_id").alias("entity"), F.col("node_type").alias("kind"), F.col("canonical_name").alias("name")).distinct()
+    got = score_documents(names, cases, key="entity", text="name", query_key="query", query_text="wording")
+    typed = got.withColumnRenamed("key", "entity").join(names.groupBy("entity").agg(F.min("kind").alias("kind")), "entity").join(cases.select("query", _hints("wording").alias("hints")), "query")
+    weighed = typed.select("query", "entity", "kind", F.round(F.col("score") * qr.fuzzy_weight(F.col("kind"), F.col("hints")), 6).alias("score"), F.col("score").alias("raw")).where(F.col("score") >= 0.02)
+    return rk.top_k(weighed, ["query"], [F.desc("score"), F.desc("raw"), F.col("entity")], k).select("query", "entity", "kind", "score")
+
+
+@query()
+def fuzzy_entities(spark: SparkSession, root: str) -> DataFrame:
+    """Entities whose names are like a query's wording, weighed by what the query asks for."""
+    return _fuzzy(spark, root, _cases(spark, root))
+
+
+@query()
+def ranked_papers(spark: SparkSession, root: str) -> DataFrame:
+    """Papers for each query from text, titles, handles, entities, coverage, figures, cross-paper support and constraints."""
+    cases = _cases(spark, root)
+    papers = table(spark, root, "papers").select("node_id", F.concat_ws(" ", "title", "abstract").alias("text"))
+    direct = score_documents(papers, cases, key="node_id", text="text", query_key="query", query_text="wording").select("query", F.col("key").alias("paper"), "score")
+    names = _names(spark, root)
+    matches = entity_matches(cases, names)
+    e = table(spark, root, "edges").where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    conf = F.coalesce("confidence", F.lit(0.0)).alias("confidence")
+    edges = e.where(F.col("edge_type").startswith("paper_")).select(F.col("source_id").alias("paper"), F.col("target_id").alias("entity"), conf)
+    inside = e.where(F.col("edge_type").startswith("section_mentions_")).select(F.concat(F.lit("paper:"), F.try_element_at(F.split("source_id", ":"), F.lit(2))).alias("paper"), F.col("source_id").alias("section"), F.col("target_id").alias("entity"), conf)
+    parts = phase_one(direct, matches.select("query", "entity", "kind"), edges, inside)
+    titles = _papers(spark, root)
+    phrased = cases.withColumn("phrases", qr.title_phrases(F.col("wording"))).withColumn("handles", qr.handles(F.col("wording")))
+    named = lambda df, name: df.select("query", "paper", F.lit(name).alias("component"), "delta")
+    parts = parts.unionByName(named(qr.title_bonus(phrased, titles), "title"))
+    parts = parts.unionByName(named(qr.handle_bonus(phrased.where(F.size("phrases") == 0), titles, _figures(spark, root)), "handle"))
+    fuzzy = _fuzzy(spark, root, cases).join(edges.groupBy("paper", "entity").agg(F.max("confidence").alias("confidence")), "entity")
+    parts = parts.unionByName(fuzzy.select("query", "paper", F.lit("fuzzy").alias("component"), (F.col("score") * F.col("confidence")).alias("delta")))
+    pictures = cases.where(qr.is_visual(F.col("wording")))
+    ranked = evidence.rank_figures(_figure_rows(spark, root), pictures, 40)
+    paper = F.concat(F.lit("paper:"), F.try_element_at(F.split("figure", ":"), F.lit(2)))
+    parts = parts.unionByName(named(qr.figure_support(ranked.select("query", paper.alias("paper"), "score", F.col("caption_score").alias("caption"), F.col("label_score").alias("label"), "place")), "figure"))
+    parts, cross = settle(parts), settle(cross_edges(spark, root))
+    concepts = qr.concept_bonus(matches.join(names, ["entity", "kind"]).select("query", "entity", F.col("name").alias("concept")), _links(spark, root))
+    allowed = qr.structured_filter(matches.select("query", "entity", "kind"), edges)
+    plain = phrased.where(~qr.is_visual(F.col("wording")) & (F.size("handles") == 0)).select("query", qr.has_conjunction(F.col("wording")).alias("joint"))
+    return rank_papers(parts, cross, k=10, third=lambda scores: finish(scores, allowed, concepts, plain))
+
+
+@query(
+    _MATCHES
+    + """, aligned AS (SELECT m.query, m.entity, m.score, length(regexp_replace(lower(n.name), '[^a-z0-9一-鿿]+', '', 'g')) >= 4 AND contains(regexp_replace(lower(a.wording), '[^a-z0-9一-鿿]+', '', 'g'), regexp_replace(lower(n.name), '[^a-z0-9一-鿿]+', '', 'g')) AS aligned
+  FROM matches m JOIN names n USING (entity, kind) JOIN asked a USING (query))
+SELECT query, entity, aligned, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY aligned DESC, score DESC, entity) AS place FROM aligned) x WHERE place <= 4"""
+)
+def match_evidence(spark: SparkSession, root: str) -> DataFrame:
+    """Entities that show why something matches a query."""
+    asked, names = asked_texts(spark, root), _names(spark, root)
+    m = entity_matches(asked, names).join(names, ["entity", "kind"]).withColumn("source", F.lit("exact"))
+    return bundle.match_evidence(m.select("query", "entity", "name", "source", "score"), asked, 4)
+
+
+#: estimated tokens of a context, as the demonstration of the reference has them
+CONTEXT_TOKENS = 800
+
+
+def _context_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of the evidence of each query: papers and sections of two fused rankings, what they hold and mention."""
+    found = settle(_hybrid(spark, root).where(F.col("query").isNotNull()))
+    papers = table(spark, root, "papers").select(F.col("paper_id").alias("paper"), F.col("node_id").alias("source"), "title", F.array_join("authors", "; ").alias("authors"), F.array_join("institutions", "; ").alias("institutions")).distinct()
+    top = found.select("query", "paper", F.col("paper_place").alias("paper_no"), "paper_score").distinct().join(papers, "paper").withColumn("section_no", F.lit(0))
+    nodes = table(spark, root, "nodes")
+    sections = nodes.where(F.col("node_type") == "section").groupBy(F.col("node_id").alias("section")).agg(*[F.max(c).alias(c) for c in ("section_title", "section_group", "section_text", "page_start", "page_end")])
+    held = found.select("query", "paper", F.col("paper_place").alias("paper_no"), "section", F.col("place").alias("section_no"), "score").join(sections, "section")
+    out = bundle.lines_of(top, "paper", F.concat(F.lit("\n## Paper "), "paper_no", F.lit(": "), F.coalesce("title", F.lit("")), F.lit("\n- paper_id: "), "paper", F.lit("\n- rank_score: "), F.format_string("%.4f", "paper_score")))
+    for kind in ("authors", "institutions"):
+        out = out.unionByName(bundle.lines_of(top.where(F.length(F.trim(kind)) > 0), kind, F.concat(F.lit(f"- {kind}: "), tx.trim_to(kind, 220))))
+    e = table(spark, root, "edges").where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    names = nodes.where(F.col("canonical_name").isNotNull()).groupBy(F.col("node_id").alias("target_id")).agg(F.min("node_type").alias("kind"), F.min("canonical_name").alias("name"))
+    linked = e.where(F.col("edge_type").startswith("paper_uses_")).groupBy("source_id", "target_id").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("c"), F.min("edge_type").alias("edge_type")).join(names, "target_id")
+    entities = rk.top_k(top.select("query", "paper_no", "section_no", F.col("source").alias("source_id")).join(linked, "source_id"), ["query", "paper_no"], [F.desc("c"), F.col("target_id")], 5, "item")
+    out = out.unionByName(bundle.lines_of(entities, "entity", F.concat(F.lit("  - "), "kind", F.lit(":"), "name", F.lit(" | edge="), "edge_type"), F.col("item"), F.col("c") > 0.95))
+    out = out.unionByName(bundle.lines_of(held, "section", F.concat(F.lit("\n### Section: "), F.coalesce("section_title", F.lit("")), F.lit(" ["), F.coalesce("section_group", F.lit("")), F.lit("]\n- section_id: "), "section", F.lit("\n- rank_score: "), F.format_string("%.4f", "score"))))
+    filled = held.where(F.length(F.trim("section_text")) > 0)
+    out = out.unionByName(bundle.lines_of(filled, "summary", F.concat(F.lit("- summary: "), tx.trim_to("section_text", 220))))
+    mentioned = e.where(F.col("edge_type").startswith("section_mentions_")).groupBy(F.col("source_id").alias("section"), "target_id").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("c")).join(names, "target_id")
+    inside = rk.top_k(held.select("query", "paper_no", "section_no", "section").join(mentioned, "section"), ["query", "paper_no", "section_no"], [F.desc("c"), F.col("target_id")], 6, "item")
+    out = out.unionByName(bundle.lines_of(inside, "section_entity", F.concat(F.lit("  - "), "name"), F.col("item")))
+    label = tx.page_label("page_start", "page_end")
+    head = F.concat(F.lit("  - ["), "section", F.lit("] "), F.when(label != "", F.concat(F.lit("["), label, F.lit("] "))).otherwise(""))
+    parts = filled.withColumn("head", head).select("query", "paper_no", "section_no", "head", F.posexplode(F.slice(F.filter(F.transform(F.split(F.replace("section_text", F.lit("\r"), F.lit("")), r"\n\s*\n+"), tx.normalize_spaces), lambda p: p != ""), 1, 2)).alias("i", "text"))
+    out = out.unionByName(bundle.lines_of(parts, "chunk", F.concat("head", tx.trim_to("text", 1100)), F.col("i") + 1))
+    figures = nodes.where((F.col("node_type") == "figure") & (F.size("caption") > 0)).groupBy(F.col("node_id").alias("target_id")).agg(F.max(F.array_join("caption", " ")).alias("caption"))
+    shown = e.where(F.col("edge_type") == "section_has_figure").select(F.col("source_id").alias("section"), "target_id").distinct().join(figures, "target_id")
+    one = rk.top_k(held.select("query", "paper_no", "section_no", "section").join(shown, "section"), ["query", "paper_no", "section_no"], [F.col("target_id")], 1, "item")
+    return out.unionByName(bundle.lines_of(one, "figure", F.concat(F.lit("  - ["), "target_id", F.lit("] "), tx.trim_to("caption", 1100)), F.col("item")))
+
+
+def _trim(c: str, n: int) -> str:
+    t = f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({t}) <= {n} THEN {t} ELSE rtrim(substr({t}, 1, {n - 1})) || '…' END"
+
+
+_UNITS = "len(regexp_extract_all(line, '[一-鿿]|[A-Za-z0-9_]+|[^\\s\\x1c-\\x1f\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]'))"
+_LABELLED = "CASE WHEN page_start IS NULL AND page_end IS NULL THEN '' WHEN page_start IS NULL OR page_end IS NULL OR page_start = page_end THEN '[p.' || (coalesce(page_start, page_end) + 1) || '] ' ELSE '[p.' || (page_start + 1) || '-' || (page_end + 1) || '] ' END"
+_CONTEXT = (
+    ORACLE_SQL["hybrid_sections"].replace("SELECT query, paper, ch.score AS paper_score", ", found AS (SELECT query, paper, ch.score AS paper_score", 1).rstrip() + ")"
+    + f""", top AS (SELECT f.query, f.paper, f.paper_place AS paper_no, f.paper_score, p.node_id AS source, p.title, p.a, p.i FROM (SELECT DISTINCT query, paper, paper_place, paper_score FROM found WHERE query IS NOT NULL) f
+  JOIN (SELECT DISTINCT paper_id AS paper, node_id, title, array_to_string(authors, '; ') AS a, array_to_string(institutions, '; ') AS i FROM papers) p USING (paper)),
+sec AS (SELECT node_id AS section, max(section_title) AS t, max(section_group) AS g, max(section_text) AS txt, max(page_start) AS page_start, max(page_end) AS page_end FROM nodes WHERE node_type = 'section' GROUP BY 1),
+held AS (SELECT query, paper_place AS paper_no, section, place AS section_no, score, t, g, txt, page_start, page_end FROM found JOIN sec USING (section) WHERE query IS NOT NULL),
+nm AS (SELECT node_id AS target_id, min(node_type) AS kind, min(canonical_name) AS name FROM nodes WHERE canonical_name IS NOT NULL GROUP BY 1),
+lk AS (SELECT source_id, target_id, max(coalesce(confidence, 0)) AS c, min(edge_type) AS edge_type FROM edges WHERE edge_type LIKE 'paper_uses_%' AND source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1, 2),
+en AS (SELECT query, paper_no, kind, name, edge_type, c, row_number() OVER (PARTITION BY query, paper_no ORDER BY c DESC, target_id) AS item FROM top JOIN lk ON lk.source_id = top.source JOIN nm USING (target_id)),
+mn AS (SELECT source_id AS section, target_id, max(coalesce(confidence, 0)) AS c FROM edges WHERE edge_type LIKE 'section_mentions_%' AND source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY 1, 2),
+ie AS (SELECT query, paper_no, section_no, name, row_number() OVER (PARTITION BY query, paper_no, section_no ORDER BY c DESC, target_id) AS item FROM held JOIN mn USING (section) JOIN nm USING (target_id)),
+ps AS (SELECT query, paper_no, section_no, section, page_start, page_end, list_filter(list_transform(regexp_split_to_array(replace(txt, chr(13), ''), '\\n\\s*\\n+'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> '')[1:2] AS pp FROM held WHERE length(trim(txt)) > 0),
+pt AS (SELECT query, paper_no, section_no, section, {_LABELLED} AS lab, unnest(pp) AS p, generate_subscripts(pp, 1) AS item FROM ps),
+fg AS (SELECT node_id AS target_id, max(array_to_string(caption, ' ')) AS caption FROM nodes WHERE node_type = 'figure' AND len(caption) > 0 GROUP BY 1),
+of AS (SELECT query, paper_no, section_no, target_id, caption, row_number() OVER (PARTITION BY query, paper_no, section_no ORDER BY target_id) AS item FROM held JOIN (SELECT DISTINCT source_id AS section, target_id FROM edges WHERE edge_type = 'section_has_figure') s USING (section) JOIN fg USING (target_id)),
+l AS (SELECT query, paper_no, 0 AS section_no, 'paper' AS kind, 1 AS item_no, chr(10) || '## Paper ' || paper_no || ': ' || coalesce(title, '') || chr(10) || '- paper_id: ' || paper || chr(10) || '- rank_score: ' || format('{{:.4f}}', paper_score) AS line, FALSE AS sure FROM top
+UNION ALL SELECT query, paper_no, 0, 'authors', 1, '- authors: ' || {_trim('a', 220)}, FALSE FROM top WHERE length(trim(a)) > 0
+UNION ALL SELECT query, paper_no, 0, 'institutions', 1, '- institutions: ' || {_trim('i', 220)}, FALSE FROM top WHERE length(trim(i)) > 0
+UNION ALL SELECT query, paper_no, 0, 'entity', item, '  - ' || kind || ':' || name || ' | edge=' || edge_type, c > 0.95 FROM en WHERE item <= 5
+UNION ALL SELECT query, paper_no, section_no, 'section', 1, chr(10) || '### Section: ' || coalesce(t, '') || ' [' || coalesce(g, '') || ']' || chr(10) || '- section_id: ' || section || chr(10) || '- rank_score: ' || format('{{:.4f}}', score), FALSE FROM held
+UNION ALL SELECT query, paper_no, section_no, 'summary', 1, '- summary: ' || {_trim('txt', 220)}, FALSE FROM held WHERE length(trim(txt)) > 0
+UNION ALL SELECT query, paper_no, section_no, 'section_entity', item, '  - ' || name, FALSE FROM ie WHERE item <= 6
+UNION ALL SELECT query, paper_no, section_no, 'chunk', item, '  - [' || section || '] ' || lab || {_trim('p', 1100)}, FALSE FROM pt
+UNION ALL SELECT query, paper_no, section_no, 'figure', item, '  - [' || target_id || '] ' || {_trim('caption', 1100)}, FALSE FROM of WHERE item <= 1),
+ev AS (SELECT *, {_UNITS} AS units, least(CASE WHEN kind = 'entity' AND NOT sure THEN 1 WHEN kind = 'institutions' THEN 2 WHEN kind = 'authors' THEN 3 WHEN kind = 'chunk' AND item_no > 1 THEN 7 WHEN kind = 'section_entity' THEN 8 WHEN kind = 'summary' THEN 9
+    WHEN kind = 'chunk' THEN 12 WHEN kind = 'figure' THEN 14 ELSE 99 END, CASE WHEN section_no > 1 THEN 11 ELSE 99 END, CASE WHEN paper_no > 1 THEN 15 ELSE 99 END) AS rule FROM l WHERE length(line) > 0),
+e2 AS (SELECT *, CASE WHEN rule = 15 THEN 0 ELSE section_no END AS s, CASE WHEN rule IN (11, 15) THEN 0 ELSE item_no END AS i FROM ev),
+sz AS (SELECT query, rule, paper_no, s, i, sum(units) AS n FROM e2 GROUP BY 1, 2, 3, 4, 5),
+lf AS (SELECT *, sum(n) OVER (PARTITION BY query) - coalesce(sum(n) OVER (PARTITION BY query ORDER BY rule, paper_no DESC, s DESC, i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM sz),
+kept AS (SELECT e2.* FROM e2 JOIN lf USING (query, rule, paper_no, s, i) WHERE NOT (remaining > {int(CONTEXT_TOKENS / 0.9 + 1e-9)} AND rule < 99))
+"""
+)
+
+
+@query(_CONTEXT + "SELECT query, CAST(paper_no AS INT) AS paper_no, CAST(section_no AS INT) AS section_no, kind, CAST(item_no AS INT) AS item_no, line FROM kept")
+def context_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The evidence of each query that fits into 800 estimated tokens."""
+    kept = bundle.shrink(_context_lines(spark, root), CONTEXT_TOKENS)
+    return kept.select("query", F.col("paper_no").cast("int").alias("paper_no"), F.col("section_no").cast("int").alias("section_no"), "kind", "item_no", "line")
+
+
+@query(_CONTEXT + "SELECT query, count(*) AS n_lines, count(DISTINCT paper_no) AS n_papers, count(DISTINCT CASE WHEN section_no > 0 THEN paper_no * 10 + section_no END) AS n_sections, count(CASE WHEN kind = 'chunk' THEN 1 END) AS n_chunks, count(CASE WHEN kind = 'figure' THEN 1 END) AS n_figures, CAST(sum(units) AS BIGINT) AS units FROM kept GROUP BY 1")
+def context_summary(spark: SparkSession, root: str) -> DataFrame:
+    """What the context of each query holds."""
+    kept = bundle.shrink(_context_lines(spark, root), CONTEXT_TOKENS)
+    of = lambda k: F.count_if(F.col("kind") == k)
+    inside = F.countDistinct(F.when(F.col("section_no") > 0, F.col("paper_no") * 10 + F.col("section_no")))
+    return kept.groupBy("query").agg(F.count("*").alias("n_lines"), F.countDistinct("paper_no").alias("n_papers"), inside.alias("n_sections"), of("chunk").alias("n_chunks"), of("figure").alias("n_figures"), F.sum("units").cast("bigint").alias("units"))
+
+
+@query()
+def context_bundles(spark: SparkSession, root: str) -> DataFrame:
+    """The context of each query as one text (its lines are those of context_lines)."""
+    asked = table(spark, root, "query_cases").where(F.col("query").isNotNull()).select(F.col("query_id").alias("query"), F.col("query").alias("wording")).distinct()
+    return bundle.render(bundle.shrink(_context_lines(spark, root), CONTEXT_TOKENS), asked)
