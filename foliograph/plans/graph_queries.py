@@ -138,22 +138,6 @@ def edge_weight_norm(spark: SparkSession, root: str) -> DataFrame:
     return _weighted(spark, root).groupBy("target_id", "relation").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-@query(
-    _DIRECTED
-    + """, feat AS (SELECT DISTINCT node_id, (length(node_id) % 7)::DOUBLE AS f0, (length(node_type) % 5)::DOUBLE AS f1 FROM nodes)
-SELECT w.target_id, round(sum(w.weight * f.f0), 5) AS m0, round(sum(w.weight * f.f1), 5) AS m1
-FROM weighted w JOIN feat f ON f.node_id = w.source_id GROUP BY 1"""
-)
-def message_pass(spark: SparkSession, root: str) -> DataFrame:
-    """One step of weighted messages of two features along all relations."""
-    feat = table(spark, root, "nodes").select(
-        F.col("node_id").alias("source_id"), (F.length("node_id") % 7).cast("double").alias("f0"), (F.length("node_type") % 5).cast("double").alias("f1")
-    ).distinct()
-    return _weighted(spark, root).join(feat, "source_id").groupBy("target_id").agg(
-        F.round(F.sum(F.col("weight") * F.col("f0")), 5).alias("m0"), F.round(F.sum(F.col("weight") * F.col("f1")), 5).alias("m1")
-    )
-
-
 @query(
     f"""WITH a AS (SELECT source_id, target_id AS mid, confidence AS c1 FROM {_E} WHERE edge_type = 'paper_has_section'),
 b AS (SELECT source_id AS mid, target_id, confidence AS c2 FROM {_E} WHERE edge_type LIKE 'section_mentions_%')

@@ -148,15 +148,6 @@ def graph_audit(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
-@query(
-    """SELECT node_type, count(*) AS n, CAST(sum(hash_part) AS BIGINT) AS signature FROM (SELECT DISTINCT node_id, node_type, length(node_id) * 31 + ascii(node_id) AS hash_part FROM nodes WHERE node_id <> '') x GROUP BY 1"""
-)
-def graph_signature(spark: SparkSession, root: str) -> DataFrame:
-    """An order-free signature of the nodes of each type, as one mergeable aggregate."""
-    rows = table(spark, root, "nodes").where(F.col("node_id") != "").select("node_id", "node_type").distinct()
-    return rows.groupBy("node_type").agg(F.count("*").alias("n"), F.sum(F.length("node_id") * 31 + F.ascii("node_id")).cast("bigint").alias("signature"))
-
-
 @query(
     """WITH words AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[a-z]{5,}')) AS w FROM query_cases WHERE query IS NOT NULL),
 asked AS (SELECT query_id, count(DISTINCT w) AS n FROM words GROUP BY 1),
