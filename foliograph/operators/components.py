@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.sources.store import settle
+from foliograph.sources.store import drop, settle
 
 
 def connected_components(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in `pairs`; the component is its smallest node.
 
     Large-star and small-star steps: each moves links closer to the smallest node of
-    their neighbourhood, so the rounds grow with the logarithm of the diameter. A
+    their neighbourhood, so the rounds grow with the logarithm of the diameter; an error if they do not end. A
     round is two aggregations without any row per pair of a group. A link of a node
     with itself puts the node there alone; nulls are dropped.
     """
@@ -31,12 +31,16 @@ def connected_components(pairs: DataFrame, a: str, b: str, most_rounds: int = 60
         down = large.where(F.col("u") != F.col("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select("v", "m").where(F.col("v") != F.col("m")).union(least.select("u", "m"))
-        links = settle(small.toDF("u", "v").distinct())
+        moved = settle(small.toDF("u", "v").distinct())
+        drop(links)
+        links = moved
         # a star forest is reached when nothing moves; sums of hashes over the links tell
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"the components have not settled after {most_rounds} rounds")
     return alone.join(links.groupBy("u").agg(F.min("v").alias("v")), "u", "left").select(
         F.col("u").alias("node"), F.coalesce("v", "u").alias("component")
     )

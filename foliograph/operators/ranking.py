@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,18 +65,54 @@ def hybrid(papers: tuple[DataFrame, DataFrame], sections: tuple[DataFrame, DataF
     return chosen.join(inner, ["query", "paper"])
 
 
+#: query vectors that are sent to the tasks at a time
+QUERY_BLOCK = 4000
+
+
 def cosine_ranking(vectors: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int) -> DataFrame:
     """(query, key, score, place) of the k nearest vectors of each query vector (query, vector).
 
-    The stated queries meet all rows in one pass: the vectors stay where they are, and
-    the queries, a bounded set, are sent to them. Partitions keep their own k best.
+    The stated queries meet all rows, QUERY_BLOCK at a time, as matrix products of Arrow
+    batches; of a batch only what may be among a query's k best goes on. A vector is no
+    neighbour of the query of its own key; null vectors and keys are left out.
     """
-    unit = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    dot = F.aggregate(F.zip_with(F.col(vector), F.col("_q"), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    asked = queries.select("query", F.col(vector).alias("_q"), unit(F.col(vector)).alias("_qn"))
-    scored = vectors.withColumn("_n", unit(F.col(vector))).join(F.broadcast(asked), F.lit(True)).where(F.col(key) != F.col("query"))
-    scored = scored.select("query", key, F.round(dot / F.greatest(F.col("_n") * F.col("_qn"), F.lit(1e-12)), 5).alias("score"))
-    return top_k(scored, ["query"], [F.desc("score"), F.col(key)], k)
+    spark = vectors.sparkSession
+    asked = queries.where(F.col("query").isNotNull() & F.col(vector).isNotNull()).dropDuplicates(["query"])
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, vector)
+    kind = dict(vectors.dtypes)[key]
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+
+    def search(shared):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, matrix = shared.value
+            for batch in batches:
+                for at in range(0, len(batch), 4000):
+                    part = batch.iloc[at : at + 4000]
+                    keys = part[key].to_numpy()
+                    score = unit(np.stack(part[vector].to_numpy()).astype(float)) @ matrix.T
+                    score[keys[:, None] == ids[None, :]] = -np.inf
+                    keep = np.isfinite(score)
+                    if len(keys) > k:  # ties after rounding stay in
+                        keep &= score >= np.partition(score, len(keys) - k, axis=0)[len(keys) - k] - 1e-5
+                    r, q = np.nonzero(keep)
+                    yield pd.DataFrame({"query": ids[q], key: keys[r], "score": score[r, q]})
+
+        return run
+
+    out: DataFrame | None = None
+    for b in range(n):
+        block = asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == b).select("query", vector).toPandas()
+        if not len(block):
+            continue
+        shared = spark.sparkContext.broadcast((block["query"].to_numpy(), unit(np.stack(block[vector].to_numpy()).astype(float))))
+        part = rows.mapInPandas(search(shared), f"query {dict(queries.dtypes)['query']}, {key} {kind}, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], f"query {dict(queries.dtypes)['query']}, {key} {kind}, score double")
+    return top_k(out.withColumn("score", F.round("score", 5)), ["query"], [F.desc("score"), F.col(key)], k)
 
 
 def competition_recall(scores: DataFrame, *, weights: dict[str, float], limit: int, rrf_k: int = 60) -> DataFrame:

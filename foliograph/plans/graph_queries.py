@@ -215,12 +215,12 @@ def nearest_mention(spark: SparkSession, root: str) -> DataFrame:
     """WITH a AS (SELECT DISTINCT paper_id, unnest(authors) AS name, generate_subscripts(authors, 1) AS pos FROM papers),
 k AS (SELECT paper_id, pos, name, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '_', 'g'), '_') AS key FROM a WHERE name IS NOT NULL)
 SELECT key, arg_min(name, paper_id || lpad(CAST(pos AS VARCHAR), 4, '0')) AS canonical_name, count(DISTINCT name) AS n_aliases, count(DISTINCT paper_id) AS n_papers
-FROM k WHERE regexp_matches(key, '^[a-z0-9_]+$') GROUP BY 1"""
+FROM k WHERE key <> '' GROUP BY 1"""
 )
 def author_entities(spark: SparkSession, root: str) -> DataFrame:
     """Authors by key: first spelling seen, aliases and papers."""
     rows = table(spark, root, "papers").select("paper_id", F.posexplode("authors").alias("i", "name")).distinct().where(F.col("name").isNotNull())
-    rows = rows.withColumn("key", tx.entity_key("name")).where(F.col("key").rlike("^[a-z0-9_]+$"))
+    rows = rows.withColumn("key", tx.entity_key("name")).where(F.col("key") != "")
     first = F.min_by("name", F.concat("paper_id", F.lpad((F.col("i") + 1).cast("string"), 4, "0")))
     return rows.groupBy("key").agg(first.alias("canonical_name"), F.countDistinct("name").alias("n_aliases"), F.countDistinct("paper_id").alias("n_papers"))
 
@@ -323,22 +323,14 @@ def context_budget(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT paper_id, lower(title) AS t FROM papers WHERE title IS NOT NULL),
-n AS (SELECT paper_id, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS t FROM p),
-src AS (SELECT paper_id, t AS s FROM n UNION ALL SELECT paper_id, replace(t, ' ', '') FROM n),
-grams AS (SELECT paper_id, substr(s, i, k) AS gram FROM src, (VALUES (2), (3), (4), (5)) ks(k), range(1, 400) r(i) WHERE i + k - 1 <= length(s))
-SELECT paper_id AS key, gram, count(*) AS n FROM grams WHERE regexp_matches(gram, '^[ -~]+$') GROUP BY 1, 2"""
+    """WITH p AS (SELECT DISTINCT paper_id, title FROM papers WHERE title IS NOT NULL), n AS (SELECT paper_id, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS t FROM p),
+src AS (SELECT paper_id, t AS s FROM n WHERE t <> '' UNION ALL SELECT paper_id, replace(t, ' ', '') FROM n WHERE t <> ''),
+grams AS (SELECT paper_id, substr(s, CAST(i AS INT), k) AS gram FROM (SELECT paper_id, s, k, unnest(range(1, length(s) - k + 2)) AS i FROM src, (VALUES (2), (3), (4), (5)) v(k)) x UNION ALL SELECT paper_id, s FROM src WHERE length(s) = 1)
+SELECT paper_id AS key, gram, count(*) AS n FROM grams GROUP BY 1, 2"""
 )
 def char_ngram_counts(spark: SparkSession, root: str) -> DataFrame:
     """Character n-grams of every title."""
     titles = table(spark, root, "papers").where(F.col("title").isNotNull()).select("paper_id", "title").distinct()
-    return ngram_counts(titles, "paper_id", "title").where(F.col("gram").rlike("^[ -~]+$"))
-
-
-@query()
-def all_char_ngram_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Character n-grams of every title, of all letters (tested against plain Python)."""
-    titles = table(spark, root, "papers").where(F.col("title").isNotNull()).select("paper_id", "title").distinct()
     return ngram_counts(titles, "paper_id", "title")
 
 
@@ -398,16 +390,9 @@ def title_keys(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "papers").where(F.col("title").isNotNull()).select("paper_id", tx.title_key("title").alias("title_key")).distinct()
 
 
-@query("SELECT DISTINCT doc_id, CAST(ceil(len(regexp_extract_all(text, '[一-鿿]|[A-Za-z0-9_]+|[^\\s]')) * 0.9) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[ -~\\n]*$')")
+@query(r"SELECT DISTINCT doc_id, CAST(ceil(len(regexp_extract_all(text, '[一-鿿]|[A-Za-z0-9_]+|[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) * 0.9) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL")
 def token_estimates(spark: SparkSession, root: str) -> DataFrame:
-    """Estimated tokens of the documents in plain ASCII."""
-    rows = table(spark, root, "documents").where(F.col("text").isNotNull() & F.col("text").rlike(r"^[ -~\n]*$"))
-    return rows.select("doc_id", tx.token_estimate("text").alias("tokens")).distinct()
-
-
-@query()
-def all_token_estimates(spark: SparkSession, root: str) -> DataFrame:
-    """Estimated tokens of every document, of all characters (tested against plain Python)."""
+    """Estimated tokens of every document."""
     rows = table(spark, root, "documents").where(F.col("text").isNotNull())
     return rows.select("doc_id", tx.token_estimate("text", tx.ANY_ESTIMATE_UNIT).alias("tokens")).distinct()
 

@@ -11,7 +11,6 @@ from foliograph.operators import evidence, metadata
 from foliograph.operators import windows
 from foliograph.operators.mentions import mentions
 from foliograph.operators.structure import chunk_papers
-from foliograph.operators.tfidf import score_documents
 from foliograph.sources.store import table
 
 QUERIES: dict = {}
@@ -41,25 +40,25 @@ def _references(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("node_id", F.col("citation_title").alias("title"), F.col("citation_year").alias("year"), F.col("citation_author_text").alias("authors")).distinct()
 
 
-@query(
-    """SELECT DISTINCT block_id, regexp_extract(text, '^\\s*(?:\\[(\\d+[A-Za-z]?)\\])', 1) AS label, regexp_extract(text, '\\b((?:19|20)\\d{2})\\b', 1) AS year
-FROM paper_content_list WHERE sub_type = 'reference' AND text IS NOT NULL AND NOT contains(text, chr(10)) AND regexp_matches(text, '^\\[\\d+\\] ')"""
-)
-def reference_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Labels and years of bibliography entries that fill one block."""
-    rows = table(spark, root, "paper_content_list").where((F.col("sub_type") == "reference") & F.col("text").isNotNull() & ~F.col("text").contains("\n") & F.col("text").rlike(r"^\[\d+\] "))
-    got = bib.entries(rows.select("block_id", "text").distinct(), "block_id", "text").where(F.col("entry_no") == 1)
-    return got.select("block_id", "label", F.regexp_extract("entry", r"\b((?:19|20)\d{2})\b", 1).alias("year")).distinct()
-
-
 def _bibliography(spark: SparkSession, root: str) -> DataFrame:
     blocks = table(spark, root, "paper_content_list").where(F.col("sub_type").isin("reference", "ref_text"))
     return blocks.select("block_id", F.coalesce("text", F.array_join("list_items", "\n")).alias("text")).distinct()
 
 
-@query()
-def all_reference_labels(spark: SparkSession, root: str) -> DataFrame:
-    """Labels and years of every entry of every bibliography block (tested against plain Python)."""
+_LABEL = "(?:\\[\\d+[A-Za-z]?\\]|\\d+[A-Za-z]?[.)])"
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT block_id, regexp_replace(coalesce(text, array_to_string(list_items, chr(10))), '\r\n?', chr(10), 'g') AS t FROM paper_content_list WHERE sub_type IN ('reference', 'ref_text')),
+li AS (SELECT block_id, t, unnest(string_split(t, chr(10))) AS l, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n FROM t WHERE t IS NOT NULL),
+st AS (SELECT block_id, t, n, l, sum(CASE WHEN regexp_matches(trim(l, ' ' || chr(9)), '^{_LABEL}(?:\\s|$)') THEN 1 ELSE 0 END) OVER (PARTITION BY block_id, t ORDER BY n) AS e FROM li),
+en AS (SELECT block_id, t, e, trim(regexp_replace(string_agg(l, ' ' ORDER BY n), '\\s+', ' ', 'g')) AS raw FROM st GROUP BY 1, 2, 3),
+nu AS (SELECT block_id, row_number() OVER (PARTITION BY block_id, t ORDER BY e) AS entry_no, raw FROM en WHERE raw <> '')
+SELECT DISTINCT block_id, CAST(entry_no AS INT) AS entry_no, regexp_extract(regexp_extract(raw, '^(?:\\[\\d+[A-Za-z]?\\]|\\d+[A-Za-z]?[.)]\\s)'), '(\\d+[A-Za-z]?)', 1) AS label,
+regexp_extract(trim(regexp_replace(raw, '^{_LABEL}\\s*', '')), '\\b((?:19|20)\\d{{2}})\\b', 1) AS year FROM nu"""
+)
+def reference_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Labels and years of every entry of every bibliography block."""
     got = bib.entries(_bibliography(spark, root), "block_id", "text")
     return got.select("block_id", "entry_no", "label", F.regexp_extract("entry", r"\b((?:19|20)\d{2})\b", 1).alias("year")).distinct()
 
@@ -177,17 +176,6 @@ def front_matter(spark: SparkSession, root: str) -> DataFrame:
     return metadata.front_matter(blocks).select("paper_id", "title", "year")
 
 
-@query(
-    """SELECT DISTINCT node_id, CASE WHEN regexp_matches(lower(section_title), 'reference|bibliograph|works cited') THEN 1.75 WHEN regexp_matches(lower(section_title), 'acknowledg|funding|conflict|competing|ethic|availability|author contribution') THEN -1.0
-WHEN regexp_matches(lower(section_title), 'front matter|title|author|affiliation') THEN -0.65 WHEN regexp_matches(lower(section_title), 'abstract') THEN 0.12 WHEN regexp_matches(lower(section_title), 'introduction|background') THEN 0.08 ELSE 0.0 END::DOUBLE AS score
-FROM nodes WHERE node_type = 'section' AND section_title IS NOT NULL"""
-)
-def section_role_scores(spark: SparkSession, root: str) -> DataFrame:
-    """What each section counts for a query about references."""
-    rows = table(spark, root, "nodes").where((F.col("node_type") == "section") & F.col("section_title").isNotNull())
-    return rows.select("node_id", metadata.role_score(metadata.section_role(F.col("section_title")), "reference").alias("score")).distinct()
-
-
 @query(
     """WITH p AS (SELECT DISTINCT node_id AS node, paper_id AS paper FROM papers), e AS (SELECT DISTINCT source_id, target_id FROM edges WHERE edge_type IN ('paper_has_section', 'section_has_figure')),
 l1 AS (SELECT DISTINCT e.target_id AS node, p.paper FROM p JOIN e ON e.source_id = p.node WHERE e.target_id IS NOT NULL),
@@ -199,24 +187,3 @@ def node_owners(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "edges").where(F.col("edge_type").isin("paper_has_section", "section_has_figure") & F.col("target_id").isNotNull())
     papers = table(spark, root, "papers").select("node_id", F.col("paper_id").alias("paper")).distinct()
     return evidence.owners(e.select("source_id", "target_id").distinct(), papers)
-
-
-def _queries(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "query_cases").where(F.col("query").isNotNull()).select(F.col("query_id").alias("query"), F.col("query").alias("wording")).distinct()
-    kinds = {"table": ["table"], "plot": ["chart", "image"], "chart": ["chart", "image"], "graph": ["chart", "image"], "figure": ["image", "chart"], "diagram": ["image", "chart"]}
-    wanted = [F.when(F.lower("wording").contains(w), F.array(*[F.lit(k) for k in ks])).otherwise(F.array().cast("array<string>")) for w, ks in kinds.items()]
-    return rows.withColumn("kinds", F.array_distinct(F.flatten(F.array(*wanted))))
-
-
-@query()
-def section_ranking(spark: SparkSession, root: str) -> DataFrame:
-    """The sections of each paper for a query, at most three, of different roles first."""
-    rows = table(spark, root, "nodes").where(F.col("node_type") == "section").select("node_id", "paper_id", "section_title", "section_text").distinct()
-    texts = rows.select("node_id", F.concat_ws(" ", "section_title", "section_text").alias("text"))
-    asked = _queries(spark, root)
-    direct = score_documents(texts, asked, key="node_id", text="text", query_key="query", query_text="wording")
-    sections = rows.select(F.col("node_id").alias("section"), F.col("paper_id").alias("paper"), metadata.section_role(F.col("section_title")).alias("role"))
-    e = table(spark, root, "edges").where(F.col("edge_type").startswith("section_mentions_")).select(F.col("source_id").alias("section"), F.col("target_id").alias("entity"), (F.col("confidence") > 0.95).alias("exact"))
-    d = direct.select("query", F.col("key").alias("section"), "score")
-    ranked = evidence.rank_sections(asked.select("query").distinct(), d, sections, e.distinct(), "semantic")
-    return evidence.diversify(ranked, ["query", "paper"], "role", 3)

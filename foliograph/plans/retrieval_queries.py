@@ -285,6 +285,35 @@ def section_roles(spark: SparkSession, root: str) -> DataFrame:
     return d.select("section", metadata.role_of(F.col("title"), F.col("grp"), F.col("background")).alias("role"), "background")
 
 
+@query(
+    ORACLE_SQL["section_roles"].replace("SELECT s.section, CASE", ", r AS (SELECT s.section, CASE", 1).rstrip() + f""")
+SELECT r.section, f.focus, coalesce(CASE f.focus {' '.join(f"WHEN '{name}' THEN CASE r.role {' '.join(f"WHEN '{role}' THEN {v}" for role, v in zip(metadata.ROLES, row))} END" for name, row in metadata.ROLE_SCORES.items())} END, 0)::DOUBLE AS score
+FROM r, (VALUES {', '.join(f"('{name}')" for name in metadata.ROLE_SCORES)}) f(focus)"""
+)
+def section_role_scores(spark: SparkSession, root: str) -> DataFrame:
+    """What each section counts by its role under every focus of a query."""
+    roles = section_roles(spark, root).select("section", "role", F.explode(F.array(*[F.lit(n) for n in metadata.ROLE_SCORES])).alias("focus"))
+    return roles.select("section", "focus", metadata.role_score(F.col("role"), F.col("focus")).alias("score"))
+
+
+@query()
+def section_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """The sections of each paper for a query, at most three, of different roles first, by the focus of the query."""
+    rows = table(spark, root, "nodes").where(F.col("node_type") == "section").select("node_id", "paper_id", "section_title", "section_group", "section_text").distinct()
+    texts = rows.select("node_id", F.concat_ws(" ", "section_title", "section_text").alias("text"))
+    asked = _cases(spark, root)
+    exact = entity_matches(asked, _names(spark, root)).groupBy("query").agg(F.collect_set("kind").alias("exact"))
+    focused = qr.focus(asked.withColumn("hints", _hints("wording")).join(exact, "query", "left").withColumn("likely", F.array().cast("array<string>"))).select("query", "focus")
+    direct = score_documents(texts, asked, key="node_id", text="text", query_key="query", query_text="wording").select("query", F.col("key").alias("section"), "score")
+    behind = qr.background_sections(_sections(spark, root)).withColumn("background", F.lit(True))
+    roles = rows.select(F.col("node_id").alias("section"), F.col("paper_id").alias("paper"), "section_title", "section_group").join(behind, "section", "left")
+    role = metadata.role_of(F.coalesce("section_title", F.lit("")), F.col("section_group"), F.coalesce("background", F.lit(False)))
+    sections = roles.select("section", "paper", role.alias("role"))
+    e = table(spark, root, "edges").where(F.col("edge_type").startswith("section_mentions_")).select(F.col("source_id").alias("section"), F.col("target_id").alias("entity"), (F.col("confidence") > 0.95).alias("exact")).distinct()
+    ranked = evidence.rank_sections(focused, direct, sections, e)
+    return evidence.diversify(ranked, ["query", "paper"], "role", 3)
+
+
 _HITS = "hits AS (SELECT DISTINCT query_id AS query, paper_id AS paper, node_id AS section, node_id AS key, section_direct_score AS score FROM retrieval_scores WHERE section_direct_score IS NOT NULL AND NOT isnan(section_direct_score) AND paper_id IS NOT NULL AND node_id IS NOT NULL)"
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliograph.functions.text import normalize_text
 
@@ -30,6 +33,67 @@ def read_content_lists(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("paper_id", "item_index", "item.*").withColumn("text", F.coalesce("text", "content")).withColumn("page_idx", F.coalesce("page_idx", "page_no", "page"))
 
 
+#: names of files that may hold a paper's items, the likelier first
+PREFERRED = ["%_content_list.json", "%content_list%.json"]
+
+
+def one_list_per_paper(files: DataFrame) -> DataFrame:
+    """Of the files (file) of each paper's folder the one with the preferred name, then the first by name."""
+    name = F.element_at(F.split("file", "/"), -1)
+    turn = F.when(name.like(PREFERRED[0].replace("_", "\\_")), 0).when(name.like(PREFERRED[1].replace("_", "\\_")), 1).otherwise(2)
+    ranked = files.select("file", F.expr("regexp_replace(file, '/[^/]*$', '')").alias("folder"), turn.alias("turn")).where(F.col("turn") < 2)
+    return ranked.groupBy("folder").agg(F.min(F.struct("turn", "file")).alias("b")).select("folder", F.col("b.file").alias("file"))
+
+
+def manifest_paths(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """(folder, file) of papers whose manifest (folder, path) names its list: as it stands, else by the longest tail of the path that a file (file) below any ancestor has."""
+    parts = F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("tail"), i.alias("i")))
+    wanted = manifests.select("folder", F.explode(tails).alias("t")).select("folder", "t.tail", "t.i").where(F.col("tail") != "")
+    names = F.split("file", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, i, F.size(names)), "/"))
+    known = files.select("file", F.explode(ends).alias("tail"))
+    near = F.length(F.regexp_extract(F.concat_ws("\n", "folder", "file"), r"^([^\n]*)[^\n]*\n\1", 1))
+    hits = wanted.join(known, "tail").withColumn("near", near)
+    return hits.groupBy("folder").agg(F.min(F.struct("i", (-F.col("near")).alias("n"), "file")).alias("b")).select("folder", F.col("b.file").alias("file"))
+
+
+def read_segments(spark: SparkSession, root: str) -> DataFrame:
+    """(paper_id, item_index, block_id, page_idx, text, img_path) of papers that have only paragraphs.jsonl and images.jsonl; missing places come first."""
+    schema = "item_index int, block_id int, page_idx int, text string, img_path string"
+    parts = [spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f).json(root).select("*", F.col("_metadata.file_path").alias("file")) for f in ("paragraphs.jsonl", "images.jsonl")]
+    rows = parts[0].unionByName(parts[1]).withColumn("paper_id", F.element_at(F.split("file", "/"), -2)).where(~F.col("paper_id").startswith("."))
+    return rows.drop("file").orderBy("paper_id", F.col("item_index").asc_nulls_first(), F.col("block_id").asc_nulls_first(), F.col("page_idx").asc_nulls_first())
+
+
+def flat_text(c: Column, kind: T.DataType) -> Column:
+    """All strings inside a value of any nesting, a line for each, without NUL."""
+    if isinstance(kind, T.StringType):
+        return F.replace(c, F.lit("\x00"), F.lit(""))
+    if isinstance(kind, T.ArrayType):
+        inner = F.transform(c, lambda x: flat_text(x, kind.elementType))
+        return F.array_join(F.filter(inner, lambda t: t.isNotNull() & (t != "")), "\n")
+    if isinstance(kind, T.StructType):
+        return F.array_join(F.filter(F.array(*[flat_text(c[f.name], f.dataType) for f in kind.fields]), lambda t: t.isNotNull() & (t != "")), "\n")
+    if isinstance(kind, T.MapType):
+        return flat_text(F.map_values(c), T.ArrayType(kind.valueType))
+    return c.cast("string")
+
+
+def relative_paths(df: DataFrame, root: str) -> DataFrame:
+    """`df` with every path below `root` in its text columns written from there, so that the tables can be moved."""
+    base = re.escape(root.rstrip("/"))
+    return df.select(*[F.regexp_replace(c, f"(?:file:(?://)?)?{base}/", "").alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
+
+
+def without_local_paths(c: Column, places: dict[str, str]) -> Column:
+    """A log's text with local paths (longest first, also with backslashes) replaced by their labels."""
+    for path in sorted(places, key=len, reverse=True):
+        for form in (path, path.replace("/", "\\"), path.replace("/", "\\\\")):
+            c = F.replace(c, F.lit(form), F.lit(places[path]))
+    return c
+
+
 def _fields(ddl: str) -> str:
     return ",".join(":".join(f.strip().split(" ", 1)) for f in ddl.split(", "))
 

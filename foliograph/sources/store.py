@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,10 +17,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the one the cluster names, or our own where none is set."""
+    """The shared folder for intermediate tables: the one the cluster names; on one machine our own where none is set."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not getattr(spark, "_foliograph_folder", None):
             spark._foliograph_folder = tempfile.mkdtemp(prefix="foliograph-")
             atexit.register(shutil.rmtree, spark._foliograph_folder, ignore_errors=True)
@@ -51,5 +54,5 @@ def drop(settled: DataFrame) -> None:
 
 
 def row_bound(df: DataFrame) -> int:
-    """Rows of a scanned table; Spark answers this from the Parquet footers."""
+    """Number of rows: from the Parquet footers for a scanned table, else one counting job."""
     return df.count()
