@@ -299,13 +299,16 @@ def section_role_scores(spark: SparkSession, root: str) -> DataFrame:
 @query()
 def section_ranking(spark: SparkSession, root: str) -> DataFrame:
     """The sections of each paper for a query, at most three, of different roles first, by the focus of the query."""
-    rows = table(spark, root, "nodes").where(F.col("node_type") == "section").select("node_id", "paper_id", "section_title", "section_group", "section_text").distinct()
+    nodes = table(spark, root, "nodes")
+    nodes = nodes if "section_group" in nodes.columns else nodes.withColumn("section_group", tx.section_group("section_title"))
+    rows = nodes.where(F.col("node_type") == "section").select("node_id", "paper_id", "section_title", "section_group", "section_text").distinct()
     texts = rows.select("node_id", F.concat_ws(" ", "section_title", "section_text").alias("text"))
     asked = _cases(spark, root)
-    exact = entity_matches(asked, _names(spark, root)).groupBy("query").agg(F.collect_set("kind").alias("exact"))
+    named = _names(spark, root) if "canonical_name" in nodes.columns else spark.createDataFrame([], "entity string, kind string, name string")
+    exact = entity_matches(asked, named).groupBy("query").agg(F.collect_set("kind").alias("exact"))
     focused = qr.focus(asked.withColumn("hints", _hints("wording")).join(exact, "query", "left").withColumn("likely", F.array().cast("array<string>"))).select("query", "focus")
     direct = score_documents(texts, asked, key="node_id", text="text", query_key="query", query_text="wording").select("query", F.col("key").alias("section"), "score")
-    behind = qr.background_sections(_sections(spark, root)).withColumn("background", F.lit(True))
+    behind = qr.background_sections(rows.select(F.col("node_id").alias("section"), F.col("paper_id").alias("paper"), F.col("section_title").alias("title"))).withColumn("background", F.lit(True))
     roles = rows.select(F.col("node_id").alias("section"), F.col("paper_id").alias("paper"), "section_title", "section_group").join(behind, "section", "left")
     role = metadata.role_of(F.coalesce("section_title", F.lit("")), F.col("section_group"), F.coalesce("background", F.lit(False)))
     sections = roles.select("section", "paper", role.alias("role"))

@@ -1,6 +1,6 @@
 from foliograph.operators.evidence import diversify, owners, rank_figures, shrink
-from foliograph.plans import graph_queries
-from foliograph.plans.paper_queries import section_ranking
+from foliograph.plans import retrieval_queries
+from foliograph.plans.retrieval_queries import section_ranking
 
 
 def test_shrink_gives_in_order():
@@ -60,10 +60,10 @@ def test_papers_have_direct_scores(spark, tmp_path, monkeypatch):
     spark.createDataFrame([("q", "drift of logs")], "query_id string, query string").write.parquet(f"{tmp_path}/query_cases.parquet")
     edges = "edge_id string, edge_type string, source_id string, target_id string, confidence double, source string, mention_count long"
     spark.createDataFrame([], edges).write.parquet(f"{tmp_path}/edges.parquet")
-    none = spark.createDataFrame([], "query string, node_id string, node_type string")
+    nodes = "node_id string, node_type string, paper_id string, canonical_name string, caption array<string>, section_title string"
+    spark.createDataFrame([], nodes).write.parquet(f"{tmp_path}/nodes.parquet")
     seen = []
-    monkeypatch.setattr(graph_queries, "exact_entity_match", lambda *_: none)
-    monkeypatch.setattr(graph_queries, "_cross", lambda *_: none)
-    monkeypatch.setattr(graph_queries, "rank_papers", lambda parts, cross, k: seen.append(parts) or parts)
-    graph_queries.ranked_papers(spark, str(tmp_path))
+    monkeypatch.setattr(retrieval_queries, "cross_edges", lambda *_: spark.createDataFrame([], "x string"))
+    monkeypatch.setattr(retrieval_queries, "rank_papers", lambda parts, cross, k, third: seen.append(parts) or parts)
+    retrieval_queries.ranked_papers(spark, str(tmp_path))
     assert seen[0].where("component = 'direct'").count() == 210

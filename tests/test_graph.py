@@ -94,7 +94,7 @@ def test_structure():
 def test_bibliography(spark):
     text = "[1] Ann Doe (2019). Reading tidal logs with graphs. Journal of Logs.\n[2] B. Roe, C. Poe. 2020. Masked page graphs for river charts. doi 10.1234/abcd.5678 and more prose."
     d = bib.entries(spark.createDataFrame([(1, text), (2, None), (3, "Disclaimer: the 2020, text")], "id int, t string"), "id", "t")
-    rows = {(r.id, r.label): r for r in bib.parse(d.where(bib.is_citation(F.col("entry"))), "entry").collect()}
+    rows = {(r.id, r.label): r for r in bib.parse(d.where(bib.is_citation(F.col("entry"))), "entry", across=False).collect()}
     assert set(rows) == {(1, "1"), (1, "2")}
     one, two = rows[1, "1"], rows[1, "2"]
     assert (one.year, one.lead_author, one.title) == ("2019", "ann", "Reading tidal logs with graphs")
