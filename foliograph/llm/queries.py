@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliograph.llm.bpe import count_tokens, encode_texts
@@ -65,6 +66,16 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_pieces(spark, root).where(F.col("piece_no") == 2).select("src_table", "rec_id")
 
 
+def p2_rebuilt(spark: SparkSession, root: str) -> DataFrame:
+    """Texts put together again from their pieces, each less the overlap with the one before, as a hash."""
+    rows = p2_pieces(spark, root)
+    before = F.lag("end").over(W.partitionBy("src_table", "rec_id").orderBy("piece_no"))
+    own = rows.withColumn("before", F.coalesce(before, F.lit(0)))
+    own = own.withColumn("own", F.expr("substring(piece, greatest(before - start, 0) + 1)"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"])
+    return own.groupBy("src_table", "rec_id").agg(F.md5(F.array_join(parts, "")).alias("text_md5"))
+
+
 def p3_ranking(spark: SparkSession, root: str) -> DataFrame:
     """The combined score of every candidate section of every query."""
     scores = table(spark, root, "retrieval_scores").select(
@@ -141,6 +152,14 @@ def p9_containers(spark: SparkSession, root: str) -> DataFrame:
     return pack(sizes, key="doc_id", size="n_tokens", capacity=capacity, rows=row_bound(documents))
 
 
+def p9_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as the containers hold them: how often each is there as a whole, and how many containers exceed the capacity (none may)."""
+    capacity, _ = _limits(spark, root, "pack_documents")
+    rows = p9_containers(spark, root)
+    full = rows.groupBy("container").agg(F.sum("n_tokens").alias("n")).withColumn("over", F.col("n") > capacity).select("container", "over")
+    return rows.join(full, "container").groupBy("doc_id").agg(F.max(F.col("over").cast("int")).alias("too_full"))
+
+
 def p10_scores(spark: SparkSession, root: str) -> DataFrame:
     """Every document with its score for abusive, hateful or sexual content."""
     documents = table(spark, root, "documents")
@@ -168,6 +187,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_pieces": p2_pieces,
     "p2_found": p2_found,
+    "p2_rebuilt": p2_rebuilt,
     "p3_ranking": p3_ranking,
     "p3_found": p3_found,
     "p5_found": p5_found,
@@ -176,6 +196,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p9_documents": p9_documents,
     "p10_scores": p10_scores,
     "p10_found": p10_found,
     "p10_rates": p10_rates,
@@ -188,4 +209,11 @@ WHERE length(text) > (SELECT max_size FROM size_limits WHERE use_name = 'split_i
 UNION ALL
 SELECT DISTINCT 'nodes' AS src_table, node_id AS rec_id FROM nodes
 WHERE length(section_text) > (SELECT max_size FROM size_limits WHERE use_name = 'split_section')""",
+    "p2_rebuilt": """
+SELECT 'paper_content_list' AS src_table, CAST(block_id AS VARCHAR) AS rec_id, md5(max(text)) AS text_md5 FROM paper_content_list
+WHERE length(text) > (SELECT max_size FROM size_limits WHERE use_name = 'split_item') GROUP BY block_id
+UNION ALL
+SELECT 'nodes' AS src_table, node_id AS rec_id, md5(max(section_text)) AS text_md5 FROM nodes
+WHERE length(section_text) > (SELECT max_size FROM size_limits WHERE use_name = 'split_section') GROUP BY node_id""",
+    "p9_documents": "SELECT DISTINCT doc_id, 0 AS too_full FROM documents WHERE doc_id IS NOT NULL",
 }

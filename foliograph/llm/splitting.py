@@ -1,10 +1,12 @@
 """Splitting oversized texts at natural boundaries by packing a structure tree.
 
-A text is a tree: blocks under headings and rules, paragraphs, lines and list items,
-sentences, words, characters. Only nodes above the limit are opened; what fits is
-kept whole, and neighbouring subtrees are merged again up to the limit. The cuts
-tile the text; each piece then begins `overlap` characters before its cut, and
-`limit` counts that overlap.
+A text is a tree: sections under headings, nested by the headings' depth (marks or
+dotted numbers); paragraphs; lists, nested by indentation; lines; sentences; clauses;
+words; characters. Only nodes above the limit are opened; what fits is kept whole, and
+sibling subtrees are merged again up to the limit. Pieces of an opened section,
+paragraph or list item do not mix with its siblings; below that, the end of an opened
+sentence may go on with the next one. The cuts tile the text; each piece then begins
+`overlap` characters before its cut, and `limit` counts that overlap.
 
 Defined cases: texts within the limit and null texts give no pieces; a text
 without any boundary is cut between characters, never inside a combining
@@ -51,7 +53,42 @@ def _characters(text: str, lo: int, hi: int, limit: int) -> list[int]:
     return ends + [hi]
 
 
-def cuts(text: str, limit: int, lo: int = 0, hi: int | None = None, level: int = 0) -> list[int]:
+_DEPTH = re.compile(r"(#{1,6})\s|(\d+(?:\.\d+)*)\.?\s")
+
+
+def _depth(text: str, at: int) -> int:
+    """Depth of the heading that begins at `at`: its marks or the parts of its number, 1 without either."""
+    m = _DEPTH.match(text, at)
+    return 1 if not m else len(m[1]) if m[1] else m[2].count(".") + 1
+
+
+def _indent(text: str, at: int) -> int:
+    """Blanks at the beginning of the line at `at`; a tab counts four."""
+    width = 0
+    while at < len(text) and text[at] in " \t":
+        width += 4 if text[at] == "\t" else 1
+        at += 1
+    return width
+
+
+def _siblings(text: str, lo: int, hi: int, level: int) -> tuple[list[int], bool]:
+    """(ends of the children of text[lo:hi] at this level, whether a child may hold further ones of it)."""
+    ends = _children(text, lo, hi, level)
+    if level not in (0, 2) or len(ends) == 1:
+        return ends, False
+    rank = _depth if level == 0 else _indent
+    depths = [rank(text, e) for e in ends[:-1]]
+    first = rank(text, lo) if level == 2 else min(depths)
+    top = min([first, *depths])
+    outer = [e for e, d in zip(ends, depths) if d <= top]
+    return (outer + [hi], True) if outer else (ends, False)
+
+
+#: headings and lists nested deeper than this are read as one level
+DEEPEST = 40
+
+
+def cuts(text: str, limit: int, lo: int = 0, hi: int | None = None, level: int = 0, nest: int = 0) -> list[int]:
     """Ends of consecutive parts of text[lo:hi], none longer than `limit`."""
     hi = len(text) if hi is None else hi
     if hi - lo <= limit:
@@ -59,7 +96,7 @@ def cuts(text: str, limit: int, lo: int = 0, hi: int | None = None, level: int =
     if level == len(LEVELS):
         return _characters(text, lo, hi, limit)
     ends: list[int] = []
-    run: list[int] = []  # leaves that may be merged with one another
+    run: list[int] = []  # ends of siblings that may be merged with one another
 
     def merge() -> None:
         start = ends[-1] if ends else lo
@@ -69,14 +106,16 @@ def cuts(text: str, limit: int, lo: int = 0, hi: int | None = None, level: int =
                 start = end
         run.clear()
 
+    children, nested = _siblings(text, lo, hi, level)
     at = lo
-    for end in _children(text, lo, hi, level):
-        leaves = cuts(text, limit, at, end, level + 1)  # a node within the limit stays whole
-        if level == 0 and len(leaves) > 1:  # the parts of an opened section do not mix with the next one's
+    for end in children:
+        inside = nested and nest < DEEPEST
+        parts = cuts(text, limit, at, end, level if inside else level + 1, nest + 1 if inside else 0)  # a node within the limit stays whole
+        if level < 3 and len(parts) > 1:
             merge()
-            ends += leaves
+            ends += parts
         else:
-            run += leaves
+            run += parts
         at = end
     merge()
     return ends

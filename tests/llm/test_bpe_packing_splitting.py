@@ -90,3 +90,14 @@ def test_split_rows(spark):
     rows = [("a", "word " * 50, 1), ("a", "word " * 50, 2), ("b", "short", 3), ("c", None, 4), (None, "word " * 50, 5)]
     got = split_oversized(spark.createDataFrame(rows, "k string, t string, piece int"), key="k", text="t", limit=100, overlap=10).collect()
     assert {r.k for r in got} == {"a"} and len(got) == len({r.piece_no for r in got})
+
+
+def test_nested_tree():
+    # a section of depth 1 with two of depth 2: the second one alone is opened, and its parts do not mix with its siblings
+    text = "# A\n" + "intro. " * 3 + "\n## B\n" + "bee. " * 6 + "\n## C\n" + "sea. " * 30 + "\n# D\n" + "dee. " * 4
+    got = [text[a:b] for a, b in pieces(text, 80, 0)]
+    assert "".join(got) == text and max(map(len, got)) <= 80
+    assert got[0].startswith("# A") and got[0].rstrip().endswith("bee.") and got[1].startswith("## C") and got[-1].startswith("# D")
+    steps = "\n".join(" " * (3000 - i) + "x" for i in range(3000))
+    got = pieces(steps, 5000, 10)
+    assert got[0][0] == 0 and got[-1][1] == len(steps) and max(b - a for a, b in got) <= 5000
