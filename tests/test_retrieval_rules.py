@@ -2,9 +2,11 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from foliograph.operators import bundle, evidence, paper_rank, semantic, windows
+from foliograph.operators import bundle, evidence, lookups, paper_rank, semantic, windows
 from foliograph.operators import graph as g
 from foliograph.operators import query_rules as qr
 from foliograph.operators.ranking import cosine_ranking, fuse
@@ -143,3 +145,21 @@ def test_windows(spark):
     assert len(rows) == len(boxes) == 360 and {(0, 0, 300, 180), (8, 8, 285, 170)} <= boxes
     b = spark.createDataFrame([("i", 1, 0.0, 0.0, 1.0, 1.0, 0.9), ("i", 2, 0.0, 0.0, 0.3, 0.3, 0.5), ("j", 1, 0.0, 0.0, 1.0, 1.0, 0.2)], "image string, no int, x0 double, y0 double, x1 double, y1 double, score double")
     assert {(r.image, r.no) for r in windows.choose_windows(b).collect()} == {("i", 2), ("j", 1)}
+
+
+def test_lookups(spark):
+    papers = spark.createDataFrame([("p1", "n1", "Reading Quarry Maps"), ("p2", "n2", "Harbour Lights"), ("p3", "n3", "Harbour Lights"), ("p4", "n4", None)], "paper string, node_id string, title string")
+    find = lookups.find_paper
+    assert find(papers, "n1") == "p1" and find(papers, title="reading  QUARRY maps") == "p1" and find(papers, title="quarry") == "p1"
+    for bad in ({"paper_id": "x"}, {"title": "harbour lights"}, {"title": "nothing"}, {"title": " "}):
+        with pytest.raises(ValueError):
+            find(papers, **bad)
+    refs = spark.createDataFrame([("p1", "Reading Quarry Ledgers with Sparse Graphs"), ("p2", "Reading Quarry Ledgers with Sparse Graphs Revisited"), ("p3", "Sparse graphs with quarry ledgers"), ("p4", None)], "paper string, title string")
+    wanted = spark.createDataFrame([("w", "Reading quarry ledgers with sparse graphs"), ("v", "short")], "wanted string, title string")
+    assert {r.paper: r.score for r in lookups.like_references(wanted, refs).collect()} == {"p1": 2.05, "p2": 1.8, "p3": 1.7}
+    d = spark.createDataFrame([("misaligned pages", [["align"], ["page", "pages"]]), ("we align pages", [["align"], ["page", "pages"]]), (None, [["x"]]), ("x", [])], "t string, g array<array<string>>")
+    assert [r[0] for r in d.select(lookups.all_groups(F.col("t"), F.col("g"))).collect()] == [False, True, False, True]
+    a = spark.createDataFrame([("Ann Whit, Bob Green, Cy Lum", ["Ann Whit, Bob Green, Cy Lum"]), ("Ann Whit1 and Bob Green2", []), ("x", ["Ann Whit", "Bob Green"]), (None, None)], "t string, k array<string>")
+    assert [r[0] for r in a.select(lookups.repaired_authors(F.col("t"), F.col("k"))).collect()] == [["Ann Whit", "Bob Green", "Cy Lum"], ["Ann Whit", "Bob Green"], ["Ann Whit", "Bob Green"], []]
+    w = spark.createDataFrame([("n", "t", 0, 0, 2.0), ("n", "t", 0, 1, 0.0), ("n", "a", 0, 0, 0.0), ("n", "a", 0, 1, 3.0), ("z", "t", 0, 0, 0.0)], "node string, field string, window int, dim int, value double")
+    assert {(r.node, r.dim): round(r.value, 6) for r in lookups.mean_of_fields(w).collect()} == {("n", 0): round(2**-0.5, 6), ("n", 1): round(2**-0.5, 6)}
