@@ -28,7 +28,7 @@ def test_runs(spark, root, name):
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_against_sql(spark, root, name):
     c = duckdb.connect()
-    for t in ("paper_content_list", "nodes", "size_limits"):
+    for t in ("paper_content_list", "nodes", "size_limits", "documents"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{root}/{t}.parquet'")
     assert sorted(map(tuple, QUERIES[name](spark, root).collect())) == sorted(c.execute(ORACLE_SQL[name]).fetchall())
 
