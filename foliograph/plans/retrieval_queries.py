@@ -415,7 +415,7 @@ def _cases(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def figure_ranking(spark: SparkSession, root: str) -> DataFrame:
-    """The five figures nearest to each query by text, caption, label, kind and shared words (tested against plain Python)."""
+    """The five figures nearest to each query by text, caption, label, kind and shared words (tested on small cases)."""
     return evidence.rank_figures(_figure_rows(spark, root), _cases(spark, root), 5)
 
 
@@ -429,7 +429,7 @@ def figure_support(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def local_figures(spark: SparkSession, root: str) -> DataFrame:
-    """The figures of the papers that a query finds first, each paper a corpus of its own (tested against plain Python)."""
+    """The figures of the papers that a query finds first, each paper a corpus of its own (tested on small cases)."""
     best = rk.top_k(_hits(spark, root).groupBy("query", "paper").agg(F.max("score").alias("s")), ["query"], [F.desc("s"), F.col("paper")], 3)
     pairs = best.join(_cases(spark, root), "query").select("query", F.col("paper").alias("part"), "wording")
     rows = table(spark, root, "nodes").where((F.col("node_type") == "figure") & (F.size("caption") > 0))
