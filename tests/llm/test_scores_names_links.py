@@ -9,7 +9,7 @@ from foliograph.llm.boosting import Boosted
 from foliograph.llm.harmful import LONGEST, _windows, fold, score_documents, train, units
 from foliograph.llm.linkage import match_citations, title_similarity, year_of
 from foliograph.llm.names import edits, organisation, person
-from foliograph.llm.one_ranking import combine_scores, loadings, top_items
+from foliograph.llm.one_ranking import combine_scores, loadings, top_items, without_far
 from foliograph.llm.scans import defects, examine, learn, page_part, read_lines, repair
 from foliograph.llm.variants import average_linkage, entity_pairs, given_agreement, group_variants, similar_units
 
@@ -32,6 +32,22 @@ def test_one_ranking(spark):
     assert combine_scores(df.limit(0), group="q", item="n", scores={"a": 1, "b": 1}, latest="at").count() == 0
 
 
+def test_far_values_say_nothing(spark):
+    rng = random.Random(5)
+    rows = [("q", f"n{i:02d}", rng.random() + (i < 10), rng.random() + (i < 10), rng.random() + (i < 10), 1) for i in range(40)]
+    for i in (20, 25, 30, 35):  # poor items with one score far above, or below, all others
+        rows[i] = (*rows[i][:2], 1e4 * (i if i < 35 else -i), 0.3, 0.3, 1)
+    rows += [("few", f"n{i}", 10.0**i, 1.0, 1.0, 1) for i in range(9)] + [("flat", f"n{i:02d}", float(i == 3), 1.0, 1.0, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "q string, n string, a double, b double, c double, at int")
+    kept = without_far(df, "q", ["a", "b", "c"])
+    assert {(r.q, r.n) for r in kept.where("a IS NULL").collect()} == {("q", "n20"), ("q", "n25"), ("q", "n30"), ("q", "n35")}
+    assert kept.where("b IS NULL OR c IS NULL").count() == 0 and kept.count() == len(rows)
+    got = combine_scores(df.where("q = 'q'"), group="q", item="n", scores={"a": 1, "b": 1, "c": 1}, latest="at")
+    assert {r.n for r in top_items(got, group="q", item="n", k=10).collect()} == {f"n{i:02d}" for i in range(10)}
+    value = {r.n: r.projection for r in got.collect()}
+    assert all(value[f"n{i}"] < 0.5 for i in (20, 25, 30, 35))
+
+
 def test_loadings():
     assert np.allclose(loadings(np.eye(3) * 0.4 + 0.6, [1, 1, 1]), 1 / 3**0.5)
     assert (loadings(np.array([[1, -0.5], [-0.5, 1]]), [1, -1]) * [1, -1] > 0).all()
