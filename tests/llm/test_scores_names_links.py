@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliograph.llm.boosting import Boosted
 from foliograph.llm.harmful import LONGEST, _windows, fold, score_documents, train, units
-from foliograph.llm.linkage import match_citations, title_similarity, year_of
+from foliograph.llm.linkage import _near, match_citations, name_mark, names_fit, title_similarity, year_of
 from foliograph.llm.names import edits, organisation, person
 from foliograph.llm.one_ranking import combine_scores, loadings, top_items, without_far
 from foliograph.llm.scans import defects, examine, learn, page_part, read_lines, repair
@@ -158,6 +158,16 @@ def test_linkage_titles_of_all(spark):
     assert {r.key: r.paper for r in match_citations(c, p).collect()} == {"c1": "q1", "c2": "q3", "c3": "q4"}
 
 
+def test_name_marks(spark):
+    pairs = [("dowl", "dowl"), ("dowl", "dowm"), ("dowl", "dwol"), ("grunewald", "gruenwalt"), ("o-hara", "ohara"), ("ze", "ze"), ("dowl", "brixton"), ("grunewald", "pelhasdander")]
+    rows = spark.createDataFrame([(x, y, [name_mark(x)], [name_mark("zzzz"), name_mark(y)]) for x, y in pairs], "x string, y string, a array<int>, b array<int>")
+    got = {(r.x, r.y): r.fit for r in rows.select("x", "y", names_fit(F.col("a"), F.col("b")).alias("fit")).collect()}
+    assert all(got[p] for p in pairs[:6]) and not any(got[p] for p in pairs[6:])
+    assert all(got[p] for p in pairs if p[0] == p[1] or _near(*p))
+    empty = spark.createDataFrame([([], [1]), ([1], [])], "a array<int>, b array<int>")
+    assert all(r[0] for r in empty.select(names_fit(F.col("a"), F.col("b"))).collect())
+
+
 def test_boosting():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
