@@ -496,6 +496,16 @@ def _rank_pairs(shared):
     return run
 
 
+def _alike(pairs: DataFrame) -> DataFrame:
+    """`pairs` (token, word) whose lengths are close and that may differ in a middle of 3 letters at most (see `middle`), which takes 3 edits at most.
+
+    Pairs of words with a q-gram in common grow as the square of the words; those that
+    are alike do not, so only they are shuffled.
+    """
+    near = F.abs(F.length(F.replace("token", F.lit(" "), F.lit(""))) - F.length("word")) <= 1
+    return pairs.where(near & (F.levenshtein("token", "word", 3) >= 0))
+
+
 def corrections(tokens: DataFrame, lexicon: DataFrame, shared, rarest: int = 7) -> DataFrame:
     """CORRECTIONS, the best per token of `tokens` (token), from the q-gram join with the lexicon."""
     grams = F.pandas_udf(lambda s: s.map(qgrams), T.ArrayType(T.StringType()))
@@ -509,13 +519,7 @@ def corrections(tokens: DataFrame, lexicon: DataFrame, shared, rarest: int = 7)
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= rarest)
     )
-    pairs = (
-        rare.select("token", "gram")
-        .join(listed, "gram")
-        .where(F.abs(F.length(F.replace("token", F.lit(" "), F.lit(""))) - F.length("word")) <= 1)
-        .select("token", "word", "n")
-        .distinct()
-    )
+    pairs = _alike(rare.select("token", "gram").join(listed, "gram")).select("token", "word", "n").distinct()
     ranked = pairs.mapInPandas(_rank_pairs(shared), CORRECTIONS)
     best = ranked.groupBy("token").agg(F.min(F.struct((-F.col("p")).alias("q"), F.col("word"))).alias("b"))
     return best.select("token", F.col("b.word").alias("word"), (-F.col("b.q")).alias("p"))

@@ -10,7 +10,7 @@ from foliograph.llm.harmful import LONGEST, _windows, fold, score_documents, tra
 from foliograph.llm.linkage import _near, match_citations, name_mark, names_fit, title_similarity, year_of
 from foliograph.llm.names import edits, organisation, person
 from foliograph.llm.one_ranking import combine_scores, loadings, top_items, without_far
-from foliograph.llm.scans import defects, examine, learn, page_part, read_lines, repair
+from foliograph.llm.scans import _alike, defects, examine, learn, middle, page_part, read_lines, repair
 from foliograph.llm.variants import average_linkage, entity_pairs, given_agreement, group_variants, similar_units
 
 
@@ -236,6 +236,14 @@ def test_scans(spark):
     assert texts["1"] == "We rank the node edges over the quarry accounts and the page graphs over the quarry accounts and the harbour ledgers." and texts["2"] is None
 
 
+def test_unlike_words_are_not_paired(spark):
+    words = ["routing", "rnuting", "r outing", "routers", "outings", "boating", "raiding", "strong", "matrices", "matnx"]
+    pairs = spark.createDataFrame([(x, y) for x in words for y in words if " " not in y], "token string, word string")
+    got = {tuple(r) for r in _alike(pairs).collect()}
+    near = {(x, y) for x, y in pairs.collect() if abs(len(x.replace(" ", "")) - len(y)) <= 1}
+    assert {p for p in near if all(len(m) <= 3 for m in middle(*p))} <= got < near
+
+
 def test_scans_rare_words(spark):
     # 2.4 million words: a word that stands there three times holds less than 2e-6 of them
     plain = "we rank the node edges over quarry accounts and harbour ledgers for page graphs "
