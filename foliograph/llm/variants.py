@@ -143,6 +143,21 @@ def _parts(unit: str) -> tuple[str, str, str]:
     return kind, block, stem
 
 
+MISTAKE_KEYS = T.StructType([T.StructField("unit", T.StringType()), T.StructField("key", T.StringType()), T.StructField("stump", T.BooleanType())])
+
+
+def _mistake_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """MISTAKE_KEYS: a unit and it without any one letter, of which two stems with one mistake between them share one; and its beginnings."""
+    for batch in batches:
+        rows = []
+        for unit in batch["unit"]:
+            stem = _parts(unit)[2]
+            head = unit[: len(unit) - len(stem)]
+            rows += [(unit, head + k, False) for k in {stem, *(stem[:i] + stem[i + 1 :] for i in range(len(stem)))}]
+            rows += [(unit, head + stem[:i], True) for i in range(STUMP, len(stem))]
+        yield pd.DataFrame(rows, columns=MISTAKE_KEYS.names)
+
+
 def _prefixes(shared, threshold: float):
     """One row per prefix feature: trigrams from rare to common until the rest is shorter than the threshold."""
 
@@ -188,20 +203,21 @@ def _verify(shared, threshold: float, least: float):
 
 def similar_units(units: DataFrame, shared, threshold: float, least: float = 0.55) -> DataFrame:
     """LINKS between units (kind, block, stem) of one block whose stems' cosine reaches the threshold and whose weight reaches `least`."""
-    distinct = units.where(F.length("stem") > 0).select(F.concat_ws("|", "kind", "block", "stem").alias("unit")).distinct()
-    prefixes = settle(distinct.mapInPandas(_prefixes(shared, threshold), PREFIXES))
-    # what the weight keeps: each mistake changes the length and moves the rest by one place at most; a stump is a beginning
+    distinct = settle(units.where(F.length("stem") > 0).select(F.concat_ws("|", "kind", "block", "stem").alias("unit")).distinct())
     stem = F.substring_index("unit", "|", -1)
+    keys = distinct.mapInPandas(_mistake_keys, MISTAKE_KEYS)
+    whole = keys.where(~F.col("stump")).select("unit", "key")
+    once = whole.toDF("a", "key").join(whole.toDF("b", "key").hint("merge"), "key").where(F.col("a") < F.col("b")).select("a", "b")
+    begun = keys.where("stump").select(F.col("unit").alias("a"), "key").join(distinct.select(F.col("unit").alias("b")).hint("merge"), F.col("key") == F.col("b"))
+    begun = begun.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # two mistakes leave only long stems the same; each changes the length and moves the rest by one place at most
+    prefixes = settle(distinct.where(F.length(stem) >= LONG).mapInPandas(_prefixes(shared, threshold), PREFIXES))
     here = prefixes.select(F.col("unit").alias("a"), "feature", "place", stem.alias("x"))
     other = prefixes.select(F.col("unit").alias("b"), "feature", F.col("place").alias("there"), stem.alias("y"))
-    n, m = F.length("x"), F.length("y")
-    apart = F.greatest(F.abs(F.col("place") - F.col("there")), F.abs(n - m))
-    broken = (F.least(n, m) >= STUMP) & (F.col("x").startswith(F.col("y")) | F.col("y").startswith(F.col("x")))
-    long = F.least(n, m) >= LONG
+    apart = F.greatest(F.abs(F.col("place") - F.col("there")), F.abs(F.length("x") - F.length("y")))
     # a swap of neighbours is one mistake and two edits
-    close = F.when(long, (apart <= 2) & (F.levenshtein("x", "y", 4) >= 0)).otherwise((apart <= 1) & (F.levenshtein("x", "y", 2) >= 0))
-    near = close | broken
-    pairs = here.join(other, "feature").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    twice = here.join(other, "feature").where((F.col("a") < F.col("b")) & (apart <= 2) & (F.levenshtein("x", "y", 4) >= 0)).select("a", "b")
+    pairs = once.unionByName(begun).unionByName(twice).distinct()
     return settle(pairs.mapInPandas(_verify(shared, threshold, least), LINKS))
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from foliograph.llm.linkage import _near, match_citations, name_mark, names_fit,
 from foliograph.llm.names import edits, organisation, person
 from foliograph.llm.one_ranking import combine_scores, loadings, top_items, without_far
 from foliograph.llm.scans import _alike, defects, examine, learn, middle, page_part, read_lines, repair
-from foliograph.llm.variants import average_linkage, entity_pairs, given_agreement, group_variants, similar_units
+from foliograph.llm.variants import _mistake_keys, average_linkage, entity_pairs, given_agreement, group_variants, similar_units
 
 
 def test_one_ranking(spark):
@@ -114,6 +115,14 @@ def test_stems_of_unlike_lengths(spark):
     assert {tuple(sorted(g)) for g in got} == {("grunsomtan", "grunsomtander")}
 
 
+def test_only_stems_with_a_mistake_share_a_key():
+    units = [f"person|a|{s}" for s in ("klegrudine", "klegrudne", "klegurdine", "klegrudyne", "klegrud", "klegramine", "mirziarine")]
+    keys = pd.concat(_mistake_keys(iter([pd.DataFrame({"unit": units})])))
+    whole = keys[~keys["stump"]].groupby("unit")["key"].agg(set)
+    assert [u.split("|")[2] for u in units if whole[u] & whole[units[0]]] == ["klegrudine", "klegrudne", "klegurdine", "klegrudyne"]
+    assert units[4] in set(keys[keys["stump"] & (keys["unit"] == units[0])]["key"])
+
+
 def test_linkage(spark):
     papers = [
         ("p1", "Masked Page Graphs for River Gauge Charts", "2019", ["Ann Greenson", "Bob Whitfield"]),
