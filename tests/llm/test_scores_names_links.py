@@ -4,13 +4,14 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliograph.llm.boosting import Boosted
 from foliograph.llm.harmful import LONGEST, _windows, fold, score_documents, train, units
 from foliograph.llm.linkage import _near, match_citations, name_mark, names_fit, title_similarity, year_of
 from foliograph.llm.names import edits, organisation, person
-from foliograph.llm.one_ranking import combine_scores, loadings, top_items, without_far
+from foliograph.llm.one_ranking import combine_scores, far_shares, loadings, normal_score, top_items, without_far
 from foliograph.llm.scans import _alike, defects, examine, learn, middle, page_part, read_lines, repair
 from foliograph.llm.variants import _mistake_keys, average_linkage, entity_pairs, given_agreement, group_variants, similar_units
 
@@ -49,6 +50,41 @@ def test_far_values_say_nothing(spark):
     assert all(value[f"n{i}"] < 0.5 for i in (20, 25, 30, 35))
 
 
+def test_far_values_among_real_ones_are_told_by_the_other_scores(spark):
+    rng = random.Random(7)
+    rows = []
+    for q in range(60):
+        for i in range(60):
+            z = rng.gauss(0, 1) + 3 * (i < 10)
+            a, b, c = (z + rng.gauss(0, 0.7) for _ in range(3))
+            # two poor items a query stand among the best real scores, which spread over powers of ten
+            a = np.exp(2 * a) if i < 58 else np.exp(2 * rng.uniform(4.5, 5.5))
+            rows.append((f"q{q:02d}", f"n{(i * 37 + q) % 60:02d}", i < 10, i >= 58, float(a), b, c, 1))
+    df = spark.createDataFrame(rows, "q string, n string, good boolean, far boolean, a double, b double, c double, at int")
+    got = combine_scores(df, group="q", item="n", scores={"a": 1, "b": 1, "c": 1}, latest="at")
+    places = top_items(got, group="q", item="n", k=60).join(df, ["q", "n"])
+    far, poor = (places.where(c).agg(F.avg("place")).first()[0] for c in ("far", "NOT far AND NOT good"))
+    assert poor - far < 2  # 3.8 as ranks without a look at the other scores
+    assert places.where("place <= 10 AND good").count() >= 490
+    plain = df.select("q", "n", *[normal_score((F.percent_rank().over(W.partitionBy("q").orderBy(s)) * 59 + 0.5) / 60).alias(s) for s in "abc"])
+    parts = plain.join(df.select("q", "n"), ["q", "n"]).select("*", *[F.ntile(40).over(W.partitionBy("q").orderBy(s)).alias(f"t_{s}") for s in "abc"])
+    shares = far_shares(parts.select("*", *[(F.col(f"t_{s}") - 1).alias(f"_part_{s}") for s in "abc"]), ["a", "b", "c"])
+    assert shares[0, -1] > 0.3 and shares[1:].max() < 0.2 and shares[:, 10:30].max() < 0.2
+    assert far_shares(parts.select("*", *[(F.col(f"t_{s}") - 1).alias(f"_part_{s}") for s in "abc"]).limit(0), ["a", "b", "c"]).max() == 0
+
+
+def test_a_missing_score_stands_with_what_the_others_let_expect(spark):
+    rng = random.Random(2)
+    rows = [("q", f"n{i:02d}", i + rng.gauss(0, 15), i + rng.gauss(0, 15), 1) for i in range(60)] + [("q", "alone", 200.0, None, 1), ("q", "both", 199.0, 100.0, 1)]
+    df = spark.createDataFrame(rows, "q string, n string, a double, b double, at int")
+    value = {r.n: r.projection for r in combine_scores(df, group="q", item="n", scores={"a": 1, "b": 1}, latest="at").collect()}
+    # the best of one score, whose other is not known, stands below one that is high in both
+    assert value["n30"] < value["alone"] < value["both"]
+    same = spark.createDataFrame([("q", str(i), float(i), float(i), 1) for i in range(20)] + [("q", "x", 7.0, None, 1)], "q string, n string, a double, b double, at int")
+    order = [r.n for r in combine_scores(same, group="q", item="n", scores={"a": 1, "b": 1}, latest="at").orderBy("projection").collect()]
+    assert [n for n in order if n != "x"] == [str(i) for i in range(20)] and abs(order.index("x") - 7) <= 1
+
+
 def test_loadings():
     assert np.allclose(loadings(np.eye(3) * 0.4 + 0.6, [1, 1, 1]), 1 / 3**0.5)
     assert (loadings(np.array([[1, -0.5], [-0.5, 1]]), [1, -1]) * [1, -1] > 0).all()
