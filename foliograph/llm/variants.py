@@ -12,7 +12,10 @@ number is bounded by the stems' length: two names of one ending stay apart howev
 rare its trigrams are. The bounds on lengths and places in the join follow from that
 number, so they drop no pair that the weight keeps. Linked units form components;
 inside each, the distinct names are grouped by average linkage over the weight times
-the agreement of given names, where contradicting given names bar a merge.
+the agreement of given names, where contradicting given names bar a merge. The more
+names there are, the more stems of others stand one mistake apart, until most short
+stems of a block are one component; so the linkage weighs linked groups only, and finds
+them by keys.
 
 Defined cases: null and blank names and names without letters belong to nothing;
 equal names are always one entity; repeated rows of a record count once.
@@ -20,9 +23,11 @@ equal names are always one entity; repeated rows of a record count once.
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -273,65 +278,110 @@ def given_agreement(a: tuple[str, ...], b: tuple[str, ...], common: frozenset[st
     return score
 
 
-def average_linkage(similarity: np.ndarray, least: float) -> list[int]:
-    """Group numbers from merging, again and again, the two groups of highest average similarity."""
-    n = len(similarity)
-    label = list(range(n))
-    sums, sizes, alive = similarity.astype(float).copy(), np.ones(n), np.ones(n, bool)
-    np.fill_diagonal(sums, -np.inf)
-    while alive.sum() > 1:
-        mean = np.where(alive[:, None] & alive[None, :], sums / np.outer(sizes, sizes), -np.inf)
-        i, j = divmod(int(mean.argmax()), n)
-        if mean[i, j] < least:
-            break
-        i, j = min(i, j), max(i, j)
-        sums[i] += sums[j]
-        sums[:, i] = sums[i]
-        sums[i, i] = -np.inf
-        sizes[i] += sizes[j]
-        alive[j] = False
-        label = [i if x == j else x for x in label]
-    return label
+def linkage(n: int, similarity: Callable[[int, int], float], links: list[tuple[int, int]], least: float) -> list[int]:
+    """Group numbers of 0..n-1 from merging, again and again, the two groups of highest average similarity.
 
+    links: all pairs whose similarity reaches `least`. Groups whose average reaches it hold
+    such a pair, so only they are weighed, and no matrix of all pairs is held.
+    """
+    label, at, parts, size = list(range(n)), list(range(n)), {}, [1] * n
+    near: list[set[int]] = [set() for _ in range(n)]
+    known: dict[tuple[int, int], float] = {}
 
-CLUSTERS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("entity", T.StringType())])
-
+    def total(p: int, q: int) -> float:
+        """Sum over the pairs of two groups; a group's number tells when it was made."""
+        p, q = max(p, q), min(p, q)
+        if (p, q) not in known:
+            known[p, q] = total(parts[p][0], q) + total(parts[p][1], q) if p in parts else similarity(p, q)
+        return known[p, q]
 
-def linked_parts(n: int, links: list[tuple[int, int]]) -> list[list[int]]:
-    """Connected parts of 0..n-1."""
-    root = list(range(n))
+    heap: list[tuple[float, int, int, int, int]] = []
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def weigh(i: int, j: int) -> None:
+        i, j = min(i, j), max(i, j)
+        mean = total(at[i], at[j]) / (size[i] * size[j])
+        if mean >= least:
+            heapq.heappush(heap, (-mean, i, j, at[i], at[j]))
 
     for i, j in links:
-        i, j = find(i), find(j)
-        root[max(i, j)] = min(i, j)
-    parts: dict[int, list[int]] = {}
+        near[i].add(j)
+        near[j].add(i)
     for i in range(n):
-        parts.setdefault(find(i), []).append(i)
-    return list(parts.values())
+        for j in near[i]:
+            if i < j:
+                weigh(i, j)
+    made = n
+    while heap:
+        _, i, j, p, q = heapq.heappop(heap)
+        if at[i] != p or at[j] != q:
+            continue
+        parts[made], at[i], at[j] = (p, q), made, -1
+        made += 1
+        size[i] += size[j]
+        label[j] = i
+        near[i] = (near[i] | near[j]) - {i, j}
+        for x in near[j]:
+            near[x].discard(j)
+        near[j] = set()
+        for x in near[i]:
+            near[x].add(i)
+            weigh(i, x)
+    for i in range(n):  # a group is named by its first member, which stands before the others
+        label[i] = label[label[i]]
+    return label
 
 
-def group_forms(forms: list[tuple], similarity, least: float) -> list[int]:
-    """Group numbers of `forms` by average linkage.
+def average_linkage(similarity: np.ndarray, least: float) -> list[int]:
+    """`linkage` over a matrix of all pairs."""
+    links = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(similarity >= least, 1)))]
+    return linkage(len(similarity), lambda i, j: float(similarity[i, j]), links, least)
 
-    Groups whose average reaches `least` hold a pair that does, so the linkage runs
-    inside the parts that such pairs connect; no matrix of all forms is held.
+
+def near_stems(stems: list[str]) -> Iterator[tuple[int, int]]:
+    """(i, j), i > j, of all stems with one mistake between them, of long ones with two, and of those that break off; of some others too.
+
+    A mistake is made good by leaving out one letter on either side, so such stems share a
+    key that lacks one letter or two.
     """
-    links = [(j, i) for i in range(len(forms)) for j in range(i) if similarity(forms[i], forms[j]) >= least]
-    label = [0] * len(forms)
-    for part in linked_parts(len(forms), links):
-        m = np.eye(len(part))
-        for x, i in enumerate(part):
-            for y, j in enumerate(part[:x]):
-                m[x, y] = m[y, x] = similarity(forms[i], forms[j])
-        for i, group in zip(part, average_linkage(m, least) if len(part) > 1 else [0]):
-            label[i] = part[group]
-    return label
+    keys: dict[str, list[int]] = {}
+    for i, stem in enumerate(stems):
+        short = {stem[:x] + stem[x + 1 :] for x in range(len(stem))} | {stem}
+        if len(stem) >= LONG:
+            short |= {s[:x] + s[x + 1 :] for s in short for x in range(len(s))}
+        for key in short:
+            keys.setdefault(key, []).append(i)
+    where = {stem: i for i, stem in enumerate(stems)}
+    pairs = {(held[y], held[x]) for held in keys.values() for y in range(len(held)) for x in range(y)}
+    for i, stem in enumerate(stems):
+        pairs |= {(max(i, j), min(i, j)) for x in range(STUMP, len(stem)) if (j := where.get(stem[:x])) is not None}
+    yield from sorted(pairs)
+
+
+#: from this number of forms on, those that may be alike are looked up by keys
+FEW = 40
+
+
+def form_links(forms: list[tuple], similarity, least: float) -> list[tuple[int, int]]:
+    """(i, j), i > j, of all forms (stem, given) whose similarity reaches `least`, which two forms of unlike stems never do."""
+    if len(forms) < FEW:
+        may = ((i, j) for i in range(len(forms)) for j in range(i))
+    else:
+        of: dict[str, list[int]] = {}
+        for i, (stem, _) in enumerate(forms):
+            of.setdefault(stem, []).append(i)
+        stems = list(of)
+        own = ((y, x) for held in of.values() for n, y in enumerate(held) for x in held[:n])
+        other = ((max(x, y), min(x, y)) for i, j in near_stems(stems) for x in of[stems[i]] for y in of[stems[j]])
+        may = chain(own, other)
+    return [(i, j) for i, j in may if similarity(forms[i], forms[j]) >= least]
+
+
+def group_forms(forms: list[tuple], similarity, least: float) -> list[int]:
+    """Group numbers of `forms` (stem, given) by average linkage."""
+    return linkage(len(forms), lambda i, j: similarity(forms[i], forms[j]), form_links(forms, similarity, least), least)
+
+
+CLUSTERS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("name", T.StringType()), T.StructField("entity", T.StringType())])
 
 
 def _cluster(shared, common: frozenset[str], least: float):
@@ -346,11 +396,11 @@ def _cluster(shared, common: frozenset[str], least: float):
             for name, stem, given in zip(d["name"], d["stem"], d["given"]):
                 names.setdefault(name, (stem, tuple(given)))
             forms = sorted(set(names.values()))
-            vectors = {stem: vector(kind, stem, weights) for stem, _ in forms}
+            vectors = lru_cache(maxsize=20_000)(lambda stem: vector(kind, stem, weights))
 
             @lru_cache(maxsize=100_000)
             def stems(x: str, y: str) -> float:
-                return 1.0 if x == y else likeness(x, y, cosine(vectors[x], vectors[y]))
+                return 1.0 if x == y else likeness(x, y, cosine(vectors(x), vectors(y)))
 
             def alike(x: tuple, y: tuple) -> float:
                 s = stems(x[0], y[0])

@@ -13,7 +13,7 @@ from foliograph.llm.linkage import _near, match_citations, name_mark, names_fit,
 from foliograph.llm.names import edits, organisation, person
 from foliograph.llm.one_ranking import combine_scores, far_shares, loadings, normal_score, top_items, without_far
 from foliograph.llm.scans import _alike, defects, examine, learn, middle, page_part, read_lines, repair
-from foliograph.llm.variants import _mistake_keys, average_linkage, entity_pairs, given_agreement, group_variants, similar_units
+from foliograph.llm.variants import _mistake_keys, average_linkage, entity_pairs, given_agreement, group_forms, group_variants, similar_units
 
 
 def test_one_ranking(spark):
@@ -130,6 +130,45 @@ def test_average_linkage():
     assert a == b != c
 
 
+def test_linkage_weighs_linked_forms_only():
+    """A chain of short stems, each a mistake away from the next, as many names of one initial make it."""
+    stems, letters = [], "abcdefgh"
+    for i in range(200):
+        letters = letters[: i % 8] + chr((ord(letters[i % 8]) - 96) % 26 + 97) + letters[i % 8 + 1 :]
+        stems.append(letters)
+    forms = [(s, (g,)) for s in stems for g in ("e", "emma")]
+    asked = []
+
+    def alike(x, y):
+        asked.append((x, y))
+        return float(x[0] == y[0]) or (0.56 if sum(a != b for a, b in zip(x[0], y[0])) == 1 else 0.0)
+
+    label = group_forms(forms, alike, 0.55)
+    assert len(asked) < 0.1 * len(forms) ** 2 / 2
+    of = dict(zip(forms, label))
+    assert all(of[s, ("e",)] == of[s, ("emma",)] for s in stems) and 1 < len(set(label)) <= len(stems)
+
+
+def test_linkage_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(rng.integers(2, 12))
+        m = np.triu(rng.choice([-3, 0, 0.5, 0.56, 0.765, 0.9, 1], size=(n, n)), 1)
+        m = m + m.T + np.eye(n)
+        sums, size, label = m.copy(), np.ones(n), list(range(n))
+        np.fill_diagonal(sums, -np.inf)
+        while True:
+            i, j = sorted(divmod(int((mean := sums / np.outer(size, size)).argmax()), n))
+            if mean[i, j] < 0.55:
+                break
+            sums[i] += sums[j]
+            sums[:, i] = sums[i]
+            sums[i, i], size[i] = -np.inf, size[i] + size[j]
+            sums[j] = sums[:, j] = -np.inf
+            label = [i if x == j else x for x in label]
+        assert average_linkage(m, 0.55) == label
+
+
 def test_variants(spark):
     names = ["Deborah Grünsomtander", "Grunsomtander, D.", "Deb Grünsomtander", "Deborah Grünsontander", "Dario Zulchebambski", "Zulchebambski DR", "Dario R. Zulchebmabski", "Samuel Zulchebambski", "  ", None, "77"]
     rows = [(f"r{i:02d}", "person", n) for i, n in enumerate(names)] + [("r00", "person", names[0])]
