@@ -2,7 +2,8 @@
 
 Queries are a stated set: rules between a query and all papers that no key can join
 (containment of titles) take the queries in blocks that are sent to the papers, BLOCK at
-a time, so what is sent does not grow. All other rules are equi-joins.
+a time, so what is sent does not grow. All other rules are equi-joins; handles meet
+texts by their rarest piece of four characters.
 
 Defined cases: null wordings are left out; a query without a phrase, handle or concept
 gets no row from the rule; of several rules for one paper the highest bonus counts.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foliograph.functions import text as tx
 from foliograph.operators.ranking import top_k
-from foliograph.sources.store import row_bound
+from foliograph.sources.store import row_bound, settle
 
 #: queries sent to the papers at a time
 BLOCK = 2000
@@ -155,20 +156,46 @@ def title_isolation(asked: DataFrame, hits: DataFrame) -> DataFrame:
     return size.join(hits.select("query").distinct(), "query", "left_semi")
 
 
+#: letters of the pieces by which handles meet texts; a handle has at least as many
+PIECE = 4
+
+
+def _pieces(c: Column) -> Column:
+    """All runs of PIECE characters of a text, each once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (PIECE - 1)), lambda i: F.substring(c, i, F.lit(PIECE))))
+
+
+def holding(handles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(xc, tc) of all distinct compact texts that hold a distinct compact handle of at least PIECE characters.
+
+    A text that holds a handle holds all pieces of it; they meet by the one that the fewest texts hold.
+    """
+    x, t = handles.select("xc").distinct(), texts.select("tc").where(F.length("tc") >= PIECE).distinct()
+    cut = x.select("xc", F.explode(_pieces(F.col("xc"))).alias("piece"))
+    there = t.select("tc", F.explode(_pieces(F.col("tc"))).alias("piece"))
+    n = there.join(cut.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    # a piece that no text holds leaves the handle without one, which is right
+    rarest = cut.join(n, "piece", "left").groupBy("xc").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("b")).select("xc", F.col("b.piece").alias("piece"))
+    return there.join(rarest, "piece").where(F.contains("tc", F.col("xc"))).select("xc", "tc")
+
+
 def handle_bonus(asked: DataFrame, papers: DataFrame, figures: DataFrame) -> DataFrame:
-    """(query, paper, delta) of papers whose titles or figures hold a handle of the query; asked: query, handles; figures: paper, text."""
-    variants = asked.select("query", F.explode("handles").alias("h")).select("query", F.explode(tx.lookup_variants("h")).alias("x")).withColumn("xc", tx.compact_text("x"))
-    variants = variants.where(F.length("xc") >= 4).dropDuplicates(["query", "xc"])
-    prefix = (F.col("p") == F.col("x")) | (F.col("pc") == F.col("xc"))
-    bonus = F.when(prefix, PREFIX_HANDLE).when((F.col("t") == F.col("x")) | (F.col("tc") == F.col("xc")), WHOLE_HANDLE).when(F.col("t").contains(F.col("x")) | F.col("tc").contains(F.col("xc")), PART_HANDLE)
-    titles = _titles(papers)
-    hits = in_blocks(variants, "query", lambda block: titles.join(block, bonus.isNotNull()).select("query", "paper", "xc", bonus.alias("b"), prefix.alias("first")))
+    """(query, paper, delta) of papers whose titles or figures hold a handle of the query; asked: query, handles; figures: paper, text.
+
+    What holds a handle in lookup form, or is equal to it, holds or equals it in compact form, too.
+    """
+    variants = asked.select("query", F.explode("handles").alias("h")).select("query", F.explode(tx.lookup_variants("h")).alias("x")).select("query", tx.compact_text("x").alias("xc"))
+    variants = settle(variants.where(F.length("xc") >= PIECE).distinct())
+    titles = _titles(papers).select("paper", "tc", "pc")
+    prefix = F.col("pc") == F.col("xc")
+    bonus = F.when(prefix, PREFIX_HANDLE).when(F.col("tc") == F.col("xc"), WHOLE_HANDLE).otherwise(PART_HANDLE)
+    hits = settle(holding(variants, titles).join(titles, "tc").select("xc", "paper", bonus.alias("b"), prefix.alias("first")))
     # a handle that begins one title only means that paper
-    alone = hits.where("first").groupBy("query", "xc").agg(F.count("*").alias("n"), F.max("paper").alias("paper")).where(F.col("n") == 1).select("query", "paper", F.lit(ONLY_HANDLE).alias("b"))
-    texts = figures.where(F.length("text") > 0).select("paper", tx.lookup_text("text").alias("t"), tx.compact_text("text").alias("tc"))
-    seen = F.col("t").contains(F.col("x")) | F.col("tc").contains(F.col("xc"))
-    shown = in_blocks(variants, "query", lambda block: texts.join(block, seen).select("query", "paper", F.lit(FIGURE_HANDLE).alias("b")))
-    return hits.select("query", "paper", "b").unionByName(alone).unionByName(shown).groupBy("query", "paper").agg(F.max("b").alias("delta"))
+    alone = hits.where("first").groupBy("xc").agg(F.count("*").alias("n"), F.max("paper").alias("paper")).where(F.col("n") == 1).select("xc", "paper", F.lit(ONLY_HANDLE).alias("b"))
+    texts = figures.where(F.length("text") > 0).select("paper", tx.compact_text("text").alias("tc")).distinct()
+    shown = holding(variants, texts).join(texts, "tc").select("xc", "paper", F.lit(FIGURE_HANDLE).alias("b")).distinct()
+    every = hits.select("xc", "paper", "b").unionByName(alone).unionByName(shown).groupBy("xc", "paper").agg(F.max("b").alias("b"))
+    return variants.join(every, "xc").groupBy("query", "paper").agg(F.max("b").alias("delta"))
 
 
 def named_sources(asked: DataFrame, papers: DataFrame) -> DataFrame:

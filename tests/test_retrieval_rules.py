@@ -53,6 +53,16 @@ def test_boosts(spark):
     assert end == {"p1": -21.0, "p2": 5.35}
 
 
+def test_handles_meet_by_pieces(spark):
+    papers = spark.createDataFrame([("p1", "FolioNet: Reading Maps"), ("p2", "A Folio-Net of Maps"), ("p3", "GPTX"), ("p4", "x"), ("p5", None)], "paper string, title string")
+    figures = spark.createDataFrame([("p4", "a plot of gptx"), ("p4", "gptx again"), ("p3", "")], "paper string, text string")
+    handles = _asked(spark, "x", "y").withColumn("handles", F.when(F.col("query") == "q0", F.array(F.lit("Folio-Net"), F.lit("NoSuch"))).otherwise(F.array(F.lit("GPTX"))))
+    got = qr.handle_bonus(handles, papers, figures)
+    assert {tuple(r) for r in got.collect()} == {("q0", "p1", 340.0), ("q0", "p2", 96.0), ("q1", "p3", 340.0), ("q1", "p4", 48.0)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_fusion_with_allowed(spark):
     left = spark.createDataFrame([("q", "a", 1), ("q", "b", 2)], "query string, k string, place int")
     right = spark.createDataFrame([("q", "c", 1), ("q", "b", 2), ("q", "a", 3)], "query string, k string, place int")
