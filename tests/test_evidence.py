@@ -1,4 +1,4 @@
-from foliograph.operators.evidence import diversify, owners, rank_figures, shrink
+from foliograph.operators.evidence import _figure_scores, diversify, figure_bonus, owners, rank_figures, shrink
 from foliograph.plans import retrieval_queries
 from foliograph.plans.retrieval_queries import section_ranking
 
@@ -53,6 +53,16 @@ def test_figures_have_full_scores(spark):
     assert few == all_of_them[:1] and few[0][0] == "f11"
 
 
+def test_figures_are_cut_where_they_are_read(spark):
+    # 600 figures that share n-grams with both queries, of which few may be among the two best
+    rows = [(f"f{i:03d}", "image", f"drift of logs {i}", "Figure 2 of drift" if i == 599 else f"logs {i}", "figure 2") for i in range(600)]
+    f = spark.createDataFrame(rows, "figure string, kind string, body string, caption string, label string").coalesce(1)
+    q = spark.createDataFrame([("q", "drift in figure 2", []), ("r", "logs of drift", ["chart"])], "query string, wording string, kinds array<string>")
+    assert _figure_scores(f, q, None).count() == 1200 and _figure_scores(f, q, 2).count() < 600
+    got = {(r.query, r.figure): round(r.bonus, 6) for r in _figure_scores(f, q, None).where("bonus > 0").collect()}
+    assert got == {(r.query, r.figure): round(r.bonus, 6) for r in figure_bonus(f, q).collect()}
+
+
 def test_papers_have_direct_scores(spark, tmp_path, monkeypatch):
     # the direct scores of 210 papers go into the sum
     papers = [(f"n{i:03d}", f"Drift of logs {i}", None) for i in range(210)]
